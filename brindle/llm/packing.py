@@ -69,23 +69,25 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
 
 def _fill(value: np.ndarray, sizes: np.ndarray, room: int, most: np.ndarray | None = None) -> np.ndarray:
     """The counts of ``sizes`` of the largest total value within ``room``; ``most`` bounds each count."""
-    best, took = np.zeros(room + 1), np.full((room + 1,), -1)
+    best = np.zeros(room + 1)
     if most is None:
+        worth = np.full(room + 1, -1.0)
+        worth[sizes] = value
+        took = [0] * (room + 1)
         for c in range(1, room + 1):
-            fits = np.searchsorted(sizes, c, side="right")
-            best[c] = best[c - 1]
-            if fits:
-                v = best[c - sizes[:fits]] + value[:fits]
-                i = int(v.argmax())
-                if v[i] > best[c] + 1e-12:
-                    best[c], took[c] = v[i], i
-        out, c = np.zeros(len(sizes), np.int64), room
+            v = best[c - 1 :: -1] + worth[1 : c + 1]
+            i = int(v.argmax())
+            if v[i] > best[c - 1] + 1e-12:
+                best[c], took[c] = v[i], i + 1
+            else:
+                best[c] = best[c - 1]
+        out, c, place = np.zeros(len(sizes), np.int64), room, {int(s): i for i, s in enumerate(sizes)}
         while c > 0:
-            if took[c] < 0:
-                c -= 1
+            if took[c]:
+                out[place[took[c]]] += 1
+                c -= took[c]
             else:
-                out[took[c]] += 1
-                c -= sizes[took[c]]
+                c -= 1
         return out
     last = []
     for size, v, n in zip(sizes, value, most, strict=True):  # bounded: powers of two of each size
@@ -109,7 +111,7 @@ def _fill(value: np.ndarray, sizes: np.ndarray, room: int, most: np.ndarray | No
     return out
 
 
-def plan(counts: dict[int, int], room: int, gap: float = 1e-3, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+def plan(counts: dict[int, int], room: int, gap: float = 1e-3, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
     """Patterns ``({size: count}, times)`` that use each size exactly as often as ``counts`` says.
 
     The master program keeps a basis inverse; a knapsack over the duals prices columns, and the rounds
@@ -123,16 +125,35 @@ def plan(counts: dict[int, int], room: int, gap: float = 1e-3, rounds: int = 400
     m = len(sizes)
     columns = np.diag(room // sizes).astype(float)
     inverse, x = np.diag(1.0 / np.diag(columns)), need / np.diag(columns)
-    for i in range(rounds):
-        if i % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ need, 0)
-        duals = inverse.sum(axis=0)
-        column = _fill(duals, sizes, room)
-        worth = float(duals @ column)
-        if worth <= 1 + 1e-9 or x.sum() <= (1 + gap) * max((duals @ need) / worth, (sizes @ need) / room):
+    # Known patterns are priced first; the knapsack is solved only when none of them improves.
+    pool, known = np.zeros((1024, m)), 0
+    for i in range(m):  # to start with, each size and the fullest rest that larger sizes allow
+        row, room_left = np.zeros(m), room - int(sizes[i])
+        row[i] = 1
+        for j in range(m - 1, -1, -1):
+            fits = room_left // int(sizes[j])
+            row[j] += fits
+            room_left -= fits * int(sizes[j])
+        pool[known] = row
+        known += 1
+    for _ in range(rounds):  # sums, not BLAS calls, whose threads stall beside a JVM
+        if x.sum() <= (1 + gap) * (sizes * need).sum() / room:
             break
-        step = inverse @ column
+        duals = inverse.sum(axis=0)
+        price = (pool[:known] * duals).sum(axis=1)
+        best = int(price.argmax())
+        if price[best] > 1 + 1e-4:
+            column = pool[best]
+        else:
+            column = _fill(duals, sizes, room).astype(float)
+            worth = float((duals * column).sum())
+            if worth <= 1 + 1e-9 or x.sum() <= (1 + gap) * (duals * need).sum() / worth:
+                break
+            if known == len(pool):
+                pool = np.concatenate([pool, np.zeros_like(pool)])
+            pool[known] = column
+            known += 1
+        step = (inverse * column).sum(axis=1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         x = np.maximum(x - ratio[out] * step, 0)
@@ -142,7 +163,7 @@ def plan(counts: dict[int, int], room: int, gap: float = 1e-3, rounds: int = 400
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
     left, found = need.astype(np.int64), []
-    for j in np.argsort(-(columns.T @ sizes), kind="stable"):  # fullest first
+    for j in np.argsort(-(columns.T * sizes).sum(axis=1), kind="stable"):  # fullest first
         use = columns[:, j].astype(np.int64)
         held = use > 0
         times = int(min(np.floor(x[j] + 1e-6), (left[held] // use[held]).min())) if held.any() else 0
