@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import linededup, packing, simhash
+from brindle.llm import linededup, mixing, packing, simhash
 from brindle.llm.common import documents
 
 
+#: The mixing tree: four domains by source number, languages, and sources of equal weight.
+DOMAINS = ("web", "books", "code", "reference")
+WEIGHTS = {"domain": {"web": 40, "books": 30, "code": 10, "reference": 20}, "lang": {"en": 50, "fr": 20, "de": 20, "es": 10}}
+DOMAIN_SQL = "coalesce(CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 " + "".join(f"WHEN {i} THEN '{d}' " for i, d in enumerate(DOMAINS)) + "END, '')"
+
+
+def domain_of() -> Column:
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 4
+    return F.coalesce(*[F.when(number == i, d) for i, d in enumerate(DOMAINS)])
+
+
+def op1_mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(documents(spark, sf_dir), domain_of(), WEIGHTS).withColumn("epoch", F.col("epoch").cast("long")).drop("k")
+
+
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -30,5 +45,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), **tokenizer_files())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_vptree, op5_line_dedup, op9_packing)}
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op3_simhash_vptree, op5_line_dedup, op9_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_mixing_budget": mixing.oracle_sql(DOMAIN_SQL, WEIGHTS), "op5_line_dedup": linededup.ORACLE_SQL}
