@@ -58,7 +58,7 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
-def in_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def in_batches(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import linededup, mixing, packing, simhash
+from brindle.llm import langid, linededup, mixing, packing, simhash
 from brindle.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op1_mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(documents(spark, sf_dir), domain_of(), WEIGHTS).withColumn("epoch", F.col("epoch").cast("long")).drop("k")
 
 
+def op2_langid_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -45,5 +49,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), **tokenizer_files())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op3_simhash_vptree, op5_line_dedup, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op2_langid_kneser_ney, op3_simhash_vptree, op5_line_dedup, op9_packing)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing_budget": mixing.oracle_sql(DOMAIN_SQL, WEIGHTS), "op5_line_dedup": linededup.ORACLE_SQL}
