@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import langid, linededup, mixing, packing, simhash, substring
+from brindle.llm import langid, linededup, mixing, packing, simhash, substring, winnow
 from brindle.llm.common import documents
 
 
@@ -42,6 +42,10 @@ def op6_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(documents(spark, sf_dir), with_text=False)
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edited(documents(spark, sf_dir))
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public vocabulary that the packing query counts with, and the same vocabulary as ranks."""
     import public_tokenizers
@@ -53,5 +57,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), **tokenizer_files())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op2_langid_kneser_ney, op3_simhash_vptree, op5_line_dedup, op6_substring_countmin, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op2_langid_kneser_ney, op3_simhash_vptree, op5_line_dedup, op6_substring_countmin, op7_winnowing, op9_packing)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing_budget": mixing.oracle_sql(DOMAIN_SQL, WEIGHTS), "op5_line_dedup": linededup.ORACLE_SQL, "op6_substring_countmin": substring.ORACLE_SQL}
