@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import langid, linededup, mixing, packing, pii, simhash, substring, winnow
+from brindle.llm import langid, licenses, linededup, mixing, packing, pii, simhash, substring, winnow
 from brindle.llm.common import documents
 
 
@@ -46,6 +46,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(documents(spark, sf_dir))
 
 
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("detections")
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public vocabulary that the packing query counts with, and the same vocabulary as ranks."""
     import public_tokenizers
@@ -61,5 +65,5 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(documents(spark, sf_dir), with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op2_langid_kneser_ney, op3_simhash_vptree, op5_line_dedup, op6_substring_countmin, op7_winnowing, op9_packing, op10_pii_disclosure)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op2_langid_kneser_ney, op3_simhash_vptree, op5_line_dedup, op6_substring_countmin, op7_winnowing, op8_license_rules, op9_packing, op10_pii_disclosure)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing_budget": mixing.oracle_sql(DOMAIN_SQL, WEIGHTS), "op5_line_dedup": linededup.ORACLE_SQL, "op6_substring_countmin": substring.ORACLE_SQL}
