@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import langid, licenses, linededup, mixing, packing, pii, simhash, substring, winnow
+from brindle.llm import annforest, langid, licenses, linededup, mixing, packing, pii, simhash, substring, winnow
 from brindle.llm.common import documents
 
 
@@ -34,6 +34,11 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = annforest.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return annforest.nearest(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -65,5 +70,5 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(documents(spark, sf_dir), with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op2_langid_kneser_ney, op3_simhash_vptree, op5_line_dedup, op6_substring_countmin, op7_winnowing, op8_license_rules, op9_packing, op10_pii_disclosure)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing_budget, op2_langid_kneser_ney, op3_simhash_vptree, op4_ann_forest, op5_line_dedup, op6_substring_countmin, op7_winnowing, op8_license_rules, op9_packing, op10_pii_disclosure)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing_budget": mixing.oracle_sql(DOMAIN_SQL, WEIGHTS), "op5_line_dedup": linededup.ORACLE_SQL, "op6_substring_countmin": substring.ORACLE_SQL}
