@@ -21,7 +21,7 @@ from brindle.llm.graph import connected_components
 by_value(__name__)
 
 #: Distinct fingerprints aimed at in a shard; a shard above BLOCK_ROWS is searched block by block.
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 49_152, 512
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 49_152, 131_072, 512
 #: Bound on the fingerprints sampled for vantage points, and the largest share of all that a sample takes.
 SAMPLE_ROWS, SAMPLE_SHARE = 32_768, 0.25
 
@@ -189,6 +189,7 @@ def links(distinct: DataFrame, total: int, reach: int = 3, shard_rows: int = SHA
 
     routed = distinct.select("fp").mapInArrow(spread, "shard int, fp long")
     if nodes:
+        routed = cut(routed)  # read twice below
         # A shard too large for one task is dealt out as blocks; every two blocks of it meet in one task.
         large = routed.groupBy("shard").count().where(F.col("count") > block_rows).select("shard", F.ceil(F.col("count") * 2 / block_rows).cast("int").alias("parts"))
         n = F.coalesce("parts", F.lit(1))
