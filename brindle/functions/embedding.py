@@ -20,7 +20,7 @@ def components(rows: DataFrame, key: str, text: str, width: int = WIDTH) -> Data
     each = digest.select(key, F.coalesce(part(1, 8) % width, F.lit(0)).cast("int").alias("idx"), F.coalesce(F.col("n") * weight, F.lit(1e-6)).alias("w"))
     summed = each.groupBy(key, "idx").agg(F.sum("w").alias("w"))
     norms = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return summed.join(norms, key).select(key, "idx", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("value"))
+    return summed.join(norms, key).select(key, "idx", F.when(F.col("norm") > 1e-5, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("value"))
 
 
 def dense(parts: DataFrame, key: str, width: int = WIDTH) -> DataFrame:

@@ -1,4 +1,6 @@
 """Registered queries of the retrieval engine."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from brindle.plans import corpus, search
+
+QUERIES: dict = {**search.QUERIES, **corpus.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL, **corpus.ORACLE_SQL}
