@@ -7,6 +7,8 @@ intervals; one that lies inside another of higher priority, or of equal priority
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,10 @@ def scan(docs: DataFrame) -> DataFrame:
     base_labels = F.array_compact(F.array(*[F.when(F.col(f"__n_{i}") > 0, F.lit(label)) for i, label in enumerate(BASE)]))
 
     table = rules()
-    literal = F.array(*[F.struct(F.lit(o).alias("order"), F.lit(p).alias("priority"), F.lit(lab).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?<= ){e}(?= )").alias("expression"), F.lit(c).alias("confidence")) for o, p, lab, k, e, c in table])
-    keywords = F.array(*[F.lit(k) for k in sorted({r[3] for r in table})])
+    # One constant instead of some thousand: the planner folds it once.
+    listed = json.dumps([{"order": o, "priority": p, "label": lab, "keyword": k, "expression": f"(?<= ){e}(?= )", "confidence": c} for o, p, lab, k, e, c in table])
+    literal = F.from_json(F.lit(listed), "array<struct<order int, priority int, label string, keyword string, expression string, confidence double>>")
+    keywords = F.split(F.lit(" ".join(sorted({r[3] for r in table}))), " ")
     rows = rows.withColumns({"n_words": F.regexp_count("text", word).cast("long"), "n_base": n_base.cast("long"), "base": base_labels})
     rows = rows.withColumns({"first_word": place("?").cast("long"), "last_word": place("").cast("long"), "__norm": when(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", " ")), F.lit(" ")))})
     rows = rows.withColumn("__present", when(F.array_intersect(F.split("__norm", " "), keywords)))
