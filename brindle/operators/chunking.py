@@ -119,12 +119,12 @@ def pack(units: list[str], most: int, overlap: float = 0.0) -> list[list[str]]:
     return done
 
 
-def segments(text: str) -> list[list[str]]:
+def segments(text: str, opens=outline.is_boundary) -> list[list[str]]:
     """Non-blank lines, cut before every heading."""
     out: list[list[str]] = []
     for line in (x.strip() for x in text.splitlines()):
         if line:
-            if out and not outline.is_boundary(line):
+            if out and not opens(line):
                 out[-1].append(line)
             else:
                 out.append([line])
@@ -156,11 +156,11 @@ def normative(text: str, w: Window) -> Iterator[Block]:
             met, path = True, carry.path([found[1]])
             held, pending = [*pending, *seg], []
         elif found:
-            yield from flush()
             here = carry.path(labels or [found[1]])
             if met:
+                yield from flush()
                 pending += seg
-            else:
+            else:  # still the preamble
                 path = here
                 held += seg
         elif pending:
@@ -212,7 +212,8 @@ def technical(text: str, w: Window) -> Iterator[Block]:
     """Runs of equal section; what comes before the first numbered section is one editorial run; a lone heading joins what follows."""
     runs: list[Block] = []
     path: list[str] = ["Preliminares"]
-    for seg in segments(text):
+    opens = lambda x: x.startswith("#") or bool(outline.TECHNICAL_SECTION.match(x) or outline.generic_heading(x)) or outline.is_boundary(x)
+    for seg in segments(text, opens):
         head = outline.bare(seg[0])
         if outline.TECHNICAL_SECTION.match(head):
             path = [head[:72]]
