@@ -19,6 +19,8 @@ LEVELS = ("domain", "lang", "source")
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Hexadecimal digits of the order hash that one refinement step resolves, and the steps: 2^24 cells a leaf.
 DIGITS, STEPS = 2, 3
+#: Parts into which joins deal the rows of a leaf, so that a hot one does not meet in one task.
+PARTS = 16
 
 
 def weight_of(column: Column, weights: dict[str, int]) -> Column:
@@ -61,6 +63,12 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: tuple[
     return leaves.join(quota, list(LEVELS))
 
 
+def _by_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """An inner join on ``leaf`` with a table that has one row a leaf, dealt by parts of each leaf."""
+    dealt = leaves.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("__part", F.pmod(F.xxhash64("doc_id", "k"), F.lit(PARTS)).cast("int")).join(dealt, ["leaf", "__part"]).drop("__part")
+
+
 def _prefix(rows: DataFrame) -> DataFrame:
     """Of ``rows(leaf, h, rest, ...)``, those within the first ``rest`` tokens of each leaf in the order of ``h``, with ``taken``.
 
@@ -74,7 +82,7 @@ def _prefix(rows: DataFrame) -> DataFrame:
         sums = rows.groupBy("leaf", cell.alias("cell")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
         past = Window.partitionBy("leaf").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         ends = sums.withColumn("before", F.coalesce(F.sum("n").over(past), F.lit(0))).where("before < rest AND before + n >= rest").select("leaf", F.col("cell").alias("end"), "before")
-        split = rows.join(ends, "leaf").withColumn("cell", cell)
+        split = _by_leaf(rows, ends).withColumn("cell", cell)
         done.append(split.where("cell < end").withColumn("taken", F.col("n_tokens")).drop("cell", "end", "before"))
         rows = split.where("cell = end").withColumn("rest", F.col("rest") - F.col("before")).drop("cell", "end", "before")
     past = Window.partitionBy("leaf").orderBy("h", "doc_id", "k").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +105,7 @@ def selection(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]
     base = cut(base.where("n_tokens > 0").distinct())
     leaves = base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
     quotas = budgets(leaves, weights, share, epochs).select(F.struct(*LEVELS).alias("leaf"), F.expr("quota div supply").cast("int").alias("whole"), F.expr("quota % supply").alias("rest"))
-    rows = base.withColumn("leaf", F.struct(*LEVELS)).join(quotas, "leaf")
+    rows = _by_leaf(base.withColumn("leaf", F.struct(*LEVELS)), quotas)
     every = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).withColumn("taken", F.col("n_tokens"))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
     partial = _prefix(cut(rows.where("rest > 0").withColumn("h", h))).withColumn("epoch", F.col("whole"))
