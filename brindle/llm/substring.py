@@ -165,6 +165,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     some = cut(some)
     # Counts meet before the shuffle; only windows of two documents or more come back.
     first = some.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
+    first = cut(first)  # the join then has plain exchanges on both sides, whose hot windows Spark can split
     return some.join(first, "w").where("doc_id > first").select("doc_id", "start")
 
 
