@@ -157,9 +157,12 @@ def calibrate(model: dict, texts: list[str], langs: list[str]) -> dict:
 def train(docs: DataFrame, learnable: Column, seed: str = "langid", docs_a_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict | None:
     """Fit and calibrate on at most ``docs_a_language`` labelled documents of each language, chosen by hash; None without any."""
     labelled = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().withColumnRenamed("count", "__n")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1e9 * 1.3 * docs_a_language / n)])
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000_000))
-    some = labelled.select("lang", F.col("text"), h.alias("h")).join(sizes, "lang").where(F.col("h") < 1e9 * 1.3 * docs_a_language / F.col("__n"))
+    some = labelled.select("lang", F.col("text"), h.alias("h")).where(F.col("h") < share[F.col("lang")])
     rows = sorted(some.select("lang", F.substring("text", 1, chars).alias("text"), "h").collect(), key=lambda r: (r.lang, r.h, r.text))
     taken: dict[str, int] = {}
     fitted, checked = ([], []), ([], [])
