@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import by_value, cut, in_batches, record_batch, utf8
+from brindle.llm.common import by_value, cut, discard, in_batches, record_batch, utf8
 
 by_value(__name__)
 
@@ -127,8 +127,8 @@ def sketch(docs: DataFrame, size: int, bits: int) -> DataFrame:
     return in_batches(docs.select(F.col("text").cast("string")), count, "row int, block int, cells binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bitmap binary")
 
 
-def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, start)`` of each window that also starts in a document with a smaller doc_id."""
+def repeated_windows(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``(doc_id, start)`` of each window that also starts in a document with a smaller doc_id, and the written tables that it reads."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(BLOCK_BITS, int(chars // 1024 * CELLS_A_KB).bit_length()))
@@ -166,13 +166,14 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     # Counts meet before the shuffle; only windows of two documents or more come back.
     first = some.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
     first = cut(first)  # the join then has plain exchanges on both sides, whose hot windows Spark can split
-    return some.join(first, "w").where("doc_id > first").select("doc_id", "start")
+    return some.join(first, "w").where("doc_id > first").select("doc_id", "start"), [some, first]
 
 
 def removals(docs: DataFrame, size: int = 50) -> DataFrame:
     """``(doc_id, starts)``: the distinct starts of a document's repeated windows, as little-endian 32-bit numbers in order."""
     schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
-    found = repeated_windows(docs, size).groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("s"))  # bounded by the document's own words
+    repeated, written = repeated_windows(docs, size)
+    found = repeated.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("s"))  # bounded by the document's own words
 
     def pack(batches):
         for b in batches:
@@ -180,7 +181,10 @@ def removals(docs: DataFrame, size: int = 50) -> DataFrame:
             flat, ends = np.asarray(s.flatten()).astype("<i4"), np.cumsum([len(x) for x in s])
             yield record_batch([b.column(0), [x.tobytes() for x in np.split(flat, ends[:-1])]], schema)
 
-    return found.mapInArrow(pack, "doc_id long, starts binary")
+    out = cut(found.mapInArrow(pack, "doc_id long, starts binary"))
+    for table in written:  # their space is free before the texts are read again
+        discard(table)
+    return out
 
 
 def covered(n: int, starts: bytes | None, size: int) -> np.ndarray:
