@@ -1,7 +1,7 @@
 """License scans by ordered signature rules; DataFrame functions only.
 
-One expression over the raw text gates everything else. Behind it, base phrases are matched on the text itself, and the
-signature rules on a normalised form, each only if its keyword is among the text's words. Detections are
+A gate over the lower-case text comes before everything else. Behind it, base phrases are matched on the text itself, and the
+signature rules on a normalised form, each only if one of its keywords is among the text's words. Detections are
 intervals; one that lies inside another of higher priority, or of equal priority and greater length, is dropped.
 """
 
@@ -18,8 +18,10 @@ from brindle.llm.license_rules import rules
 INSIDE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-#: Every base phrase and every rule holds one of these.
-GATE = f"(?i)licen[sc]|spdx|gpl|public{BETWEEN}+domain|cc{BETWEEN}+by|cc0|creativecommons|copyright|redistribut|is{BETWEEN}+hereby{BETWEEN}+granted|altered{BETWEEN}+source|mozilla|(?:licensed|released|distributed|available|published|provided|covered|offered|shared|used|copied)(?:{BETWEEN}+by{BETWEEN}+us)?{BETWEEN}+under"
+#: Every base phrase and every rule's match holds one of these in lower case: as it is, or a word and an expression behind it.
+HOLDS = ("licen", "spdx", "copyright", "redistribut", "creativecommons", "mozilla")
+APART = "[^0-9a-z]+"
+HOLDS_BEHIND = {"public": f"public{APART}domain", "cc": f"cc{APART}by", "hereby": f"is{APART}hereby{APART}granted", "altered": f"altered{APART}source", "under": f"(?:ed|available)(?:{APART}by{APART}us)?{APART}under"}
 BASE_CONFIDENCE = 0.95
 
 
@@ -28,6 +30,31 @@ def phrase(words: str) -> str:
     return f"(?i)(?<=^|{BETWEEN})" + f"{BETWEEN}+".join(words.split()) + f"(?={BETWEEN}|\\z)"
 
 
+def gate(text: Column) -> Column:
+    """Whether a text can hold a base phrase or a rule's match: searches for fixed words, and expressions only behind those."""
+    low = F.lower(text)
+    either = F.lit(False)
+    for held in HOLDS:
+        either = either | F.contains(low, F.lit(held))
+    for held, expression in HOLDS_BEHIND.items():
+        either = either | (F.contains(low, F.lit(held)) & low.rlike(expression))
+    return either
+
+
+def with_rules(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__gate`` and, behind it, ``__norm`` and ``__rules``: the normalised ``text``, and the rules that have a keyword among its words."""
+    when = lambda value: F.when(F.col("__gate"), value)
+    table = rules()
+    # One constant instead of some thousand: the planner folds it once.
+    listed = json.dumps([{"order": o, "priority": p, "label": lab, "keywords": k, "expression": f"(?<= ){e}(?= )", "confidence": c} for o, p, lab, k, e, c in table])
+    literal = F.from_json(F.lit(listed), "array<struct<order int, priority int, label string, keywords array<string>, expression string, confidence double>>")
+    keywords = F.split(F.lit(" ".join(sorted({k for r in table for k in r[3]}))), " ")
+    rows = rows.withColumn("__gate", gate(F.col("text")))
+    rows = rows.withColumn("__norm", when(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", " ")), F.lit(" "))))
+    rows = rows.withColumn("__present", when(F.array_intersect(F.split("__norm", " "), keywords)))
+    return rows.withColumn("__rules", when(F.filter(literal, lambda r: F.arrays_overlap(F.col("__present"), r["keywords"])))).drop("__present")
+
+
 def _detections() -> Column:
     """Of the columns ``__norm`` and ``__rules``: structs of start, end, priority, order, label and confidence."""
     starts = "aggregate(slice(split(__norm, r.expression, -1), 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(regexp_extract_all(__norm, r.expression, 0), 1, i), 0, (a, x) -> a + length(x))"
@@ -45,7 +72,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     word = F.lit(f"{INSIDE}+")
     either = "|".join(f"(?:{phrase(p)})" for p in BASE.values()).replace("(?i)", "")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("__gate", F.col("text").rlike(GATE))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = with_rules(rows)
     when = lambda value, other=None: F.when(F.col("__gate"), value).otherwise(other)
     counts = {label: F.regexp_count("text", F.lit(phrase(p))) for label, p in BASE.items()}
     rows = rows.withColumns({f"__n_{i}": when(c, F.lit(0)) for i, c in enumerate(counts.values())})
@@ -53,15 +81,8 @@ def scan(docs: DataFrame) -> DataFrame:
     place = lambda lazy: F.when(F.col("n_base") > 0, F.regexp_count(F.regexp_extract("text", f"(?is)\\A(.*{lazy})(?:{either})", 1), word))
     base_labels = F.array_compact(F.array(*[F.when(F.col(f"__n_{i}") > 0, F.lit(label)) for i, label in enumerate(BASE)]))
 
-    table = rules()
-    # One constant instead of some thousand: the planner folds it once.
-    listed = json.dumps([{"order": o, "priority": p, "label": lab, "keyword": k, "expression": f"(?<= ){e}(?= )", "confidence": c} for o, p, lab, k, e, c in table])
-    literal = F.from_json(F.lit(listed), "array<struct<order int, priority int, label string, keyword string, expression string, confidence double>>")
-    keywords = F.split(F.lit(" ".join(sorted({r[3] for r in table}))), " ")
     rows = rows.withColumns({"n_words": F.regexp_count("text", word).cast("long"), "n_base": n_base.cast("long"), "base": base_labels})
-    rows = rows.withColumns({"first_word": place("?").cast("long"), "last_word": place("").cast("long"), "__norm": when(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", " ")), F.lit(" ")))})
-    rows = rows.withColumn("__present", when(F.array_intersect(F.split("__norm", " "), keywords)))
-    rows = rows.withColumn("__rules", when(F.filter(literal, lambda r: F.array_contains(F.col("__present"), r["keyword"]))))
+    rows = rows.withColumns({"first_word": place("?").cast("long"), "last_word": place("").cast("long")})
     rows = rows.withColumn("__found", F.when(F.col("__gate") & (F.size("__rules") > 0), _detections()))
     kept = F.expr("filter(__found, d -> NOT exists(__found, e -> e.a <= d.a AND e.b >= d.b AND (e.priority > d.priority OR (e.priority = d.priority AND (e.b - e.a > d.b - d.a OR (e.b - e.a = d.b - d.a AND e.order < d.order))))))")
     rows = rows.withColumn("detections", F.coalesce(kept, F.expr("filter(array(struct(0 AS a, 0 AS b, 0 AS priority, 0 AS order, '' AS label, 0.0D AS confidence)), x -> false)")))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from compare import duck, rows
 
-from brindle.llm import annforest, graph, langid, licenses, linededup, mixing, packing, pii, queries, simhash, substring, winnow
+from brindle.llm import annforest, graph, langid, license_rules, licenses, linededup, mixing, packing, pii, queries, simhash, substring, winnow
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, text_hash string, n_words long, h string, k long"
@@ -151,6 +151,44 @@ def test_licenses(docs, empty):
     assert "apache-2" in got[13].labels and got[13].score >= 0.95 and licenses.scan(empty).count() == 0
 
 
+def samples(parsed):
+    """Texts that an expression matches: each branch, and each option with and without."""
+    out = [""]
+    for op, arg in parsed:
+        if str(op) == "LITERAL":
+            more = [chr(arg)]
+        elif str(op) == "IN":
+            more = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg if str(kind) in ("LITERAL", "RANGE")] or ["x"]
+        elif str(op) == "SUBPATTERN":
+            more = samples(arg[3])
+        elif str(op) == "BRANCH":
+            more = [x for branch in arg[1] for x in samples(branch)]
+        elif str(op) == "MAX_REPEAT":
+            more = [""] * (arg[0] == 0) + samples(arg[2])
+        else:
+            more = ["x"]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_gate(spark):
+    made = []
+    for order, _, _, _, expression, _ in licenses.rules():
+        every = [t for t in samples(re._parser.parse(expression.replace(license_rules.GRANT, "licensed under the "))) if re.fullmatch(expression, t)]
+        assert every, expression
+        made += [(order, t) for t in every] + [(order, every[-1].title().replace(" ", " \u2013\n"))]
+    for verb in samples(re._parser.parse(license_rules.GRANT)):
+        made.append((1, verb + "mit"))
+    lost = licenses.with_rules(spark.createDataFrame(made, "rule int, text string")).where("NOT coalesce(exists(__rules, r -> r.order = rule), false)")
+    assert lost.collect() == []
+    said = {
+        "gpl-3": "licensed under the GPLv3", "gpl-2": "released under GPLv2.", "lgpl-3": "Available under the LGPLv3", "agpl-3": "Licensed under AGPLv3", "mpl-2": "licensed under MPLv2", "eupl-1.2": "European Union Public Licence v. 1.2 Licence; licensed under the European Union Public Licence 1.2",
+        "cddl": "Licensed under the Common Development and Distribution License", "sspl-1": "licensed under the Server Side Public License v1", "hpnd": "used under the Historical Permission Notice and Disclaimer", "etalab-2": "published under the Licence Ouverte", "cc0": "released under CC Zero", "gpl": "placed under, and shared under\u00a0GPL",
+    }
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(said.values())], "doc_id long, text string")).collect()}
+    assert [label for i, label in enumerate(said) if label not in got[i]] == []
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
