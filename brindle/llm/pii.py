@@ -4,7 +4,9 @@ Direct identifiers (email, ip, card, phone) are found by rule. Corpus co-occurre
 such an entity away: a word near an entity discloses it by PMI(entity; word) / IC(entity), which is 1 if the word
 never stands in a document without the entity and 0 if the two are independent. Words whose disclosure reaches a
 threshold, with enough different contexts behind it, are spans too: generalised, or removed when they disclose
-nearly everything. Counts cover all documents; exact copies of a context support a word only once.
+nearly everything. Counts cover all documents; exact copies of a context support a word only once. An entity that
+few contexts mention is estimated by its pools: its group (mail domain, network, card issuer, phone area) and its
+kind. A pool's words must also be unlikely to stand there by chance.
 """
 
 from __future__ import annotations
@@ -37,7 +39,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"[^\W_]+")
+_LONG = re.compile(r"[^\W\d_]{3,}")
+#: Likelihood ratio (G squared) that a word of a pool must exceed: chance in one of a thousand.
+LEAST_G2 = 10.83
 
 
 def luhn(digits: str) -> bool:
@@ -92,25 +97,48 @@ def _outside(words, spans: list[tuple]) -> list:
     return out
 
 
+def pools(kind: int, entity: str) -> tuple[str, str]:
+    """The group and the kind that an entity's contexts also count for."""
+    if kind == 0:
+        group = entity[entity.index("@") :].lower()
+    elif kind == 1:
+        group = entity[: entity.rindex(".")]
+    else:
+        group = "".join(c for c in entity if c.isdigit())[:6]
+    return f"pool:{KINDS[kind]}:{group}", f"pool:{KINDS[kind]}"
+
+
 def contexts(text: str, reach: int = REACH) -> list[tuple[str, str, int]]:
-    """``(entity, word, context)`` of a text, each entity and word once; with the empty word for the entity itself."""
+    """``(entity, word, context)`` of a text, each entity, pool and word once; with the empty word for the entity or pool itself.
+
+    Near an entity are, to each side, ``reach`` words of three letters or more, and ``reach`` words of any kind.
+    """
     spans = base_spans(text)
     if not spans:
         return []
-    words = _outside(_WORD.finditer(text), spans)
-    starts = [m.start() for m in words]
     from bisect import bisect
 
+    words = _outside(_WORD.finditer(text), spans)
+    longs = _outside(_LONG.finditer(text), spans)
+    starts, long_starts = [m.start() for m in words], [m.start() for m in longs]
+
     out: dict[tuple[str, str], int] = {}
     for k, a, b in spans:
-        entity, i = f"{KINDS[k]}:{text[a:b]}", bisect(starts, a)
-        near = [m[0].lower() for m in words[max(0, i - reach) : i + reach]]
-        context = xxhash.xxh3_64_intdigest(" ".join(near)) >> 1
-        for word in ("", *near):
-            out.setdefault((entity, word), context)
+        i, j = bisect(starts, a), bisect(long_starts, a)
+        any_near = [m[0].lower() for m in words[max(0, i - reach) : i + reach]]
+        long_near = [m[0].lower() for m in longs[max(0, j - reach) : j + reach]]
+        context = xxhash.xxh3_64_intdigest(" ".join(long_near or any_near)) >> 1
+        for entity in (f"{KINDS[k]}:{text[a:b]}", *pools(k, text[a:b])):
+            for word in ("", *any_near, *long_near):
+                out.setdefault((entity, word), context)
     return [(e, w, c) for (e, w), c in out.items()]
 
 
+def words_of(text: str) -> set[str]:
+    """The words of a text: runs of letters and digits, and the runs of three letters or more within them."""
+    return {w.lower() for w in _WORD.findall(text)} | {w.lower() for w in _LONG.findall(text)}
+
+
 def _counts(docs: DataFrame, wanted) -> DataFrame:
     """``(word, n)``: the documents that hold each word, of those in ``wanted`` (a broadcast set) or of all words."""
     schema = pa.schema([("word", pa.string()), ("m", pa.int64())])
@@ -119,7 +147,7 @@ def _counts(docs: DataFrame, wanted) -> DataFrame:
         seen: Counter = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                words = {w.lower() for w in _WORD.findall(text or "")}
+                words = words_of(text or "")
                 seen.update(words if wanted is None else words & wanted.value)
             if len(seen) > 500_000:
                 yield record_batch(list(zip(*seen.items(), strict=True)), schema)
@@ -151,9 +179,19 @@ def disclosing_words(docs: DataFrame, reach: int = REACH, support: int = SUPPORT
     total = docs.count()
     pmi = F.log(F.col("both") * F.lit(float(total)) / (F.col("of_entity") * F.col("n")))
     told = joint.join(entities, "entity").join(_counts(docs, wanted), "word").withColumn("ic", F.log(F.lit(float(total)) / F.col("of_entity"))).where("ic > 0").withColumn("disclosure", pmi / F.col("ic"))
+    apart, share = F.col("n") - F.col("both"), F.col("of_entity") / F.lit(float(total))
+    g2 = 2 * (F.col("both") * pmi + F.when(apart > 0, apart * F.log(apart / (F.col("n") * (1 - share)))).otherwise(0.0))
+    told = told.where(~F.col("entity").startswith("pool:") | (g2 > LEAST_G2))
     return told.groupBy("word").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= least)
 
 
+def told_words(text: str, spans: list[tuple], known: dict[str, float]) -> list[tuple]:
+    """The spans of known words: whole ones, and the runs of letters in other words."""
+    found = [(4, m.start(), m.end(), known[m[0].lower()]) for m in _outside(_WORD.finditer(text), spans) if m[0].lower() in known]
+    taken = [(4, a, b) for _, a, b, _ in found]
+    return sorted(found + [(4, m.start(), m.end(), known[m[0].lower()]) for m in _outside(_LONG.finditer(text), [*spans, *taken]) if m[0].lower() in known])
+
+
 def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, least: float = GENERALISE, remove: float = REMOVE, most_terms: int = MOST_TERMS, with_text: bool = True) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans[, sanitised])`` for each row.
 
@@ -175,7 +213,7 @@ def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, least:
 
         def spread(batches):
             for b in batches:
-                out = [(k, d, w) for k, d, text in zip(*[c.to_pylist() for c in b.columns], strict=True) for w in {w.lower() for w in _WORD.findall(text or "")}]
+                out = [(k, d, w) for k, d, text in zip(*[c.to_pylist() for c in b.columns], strict=True) for w in words_of(text or "")]
                 if out:
                     yield record_batch(list(zip(*out, strict=True)), pair)
 
@@ -190,7 +228,7 @@ def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, least:
                 text, known = text or "", shared.value if shared else dict(own or ())
                 spans = base_spans(text)
                 amounts = Counter(k for k, _, _ in spans)
-                words = [(4, m.start(), m.end(), known[m[0].lower()]) for m in _outside(_WORD.finditer(text), spans) if m[0].lower() in known] if known else []
+                words = told_words(text, spans, known) if known else []
                 row = [doc, *[amounts[k] for k in range(4)], hashlib.sha256(spans_string(spans).encode()).hexdigest(), spans_string([*spans, *words])]
                 if with_text:
                     parts, at = [], 0

@@ -231,6 +231,18 @@ def test_pii(docs, empty, spark):
     assert pii.sanitise(empty).count() == 0
 
 
+def test_pii_of_entities_mentioned_once(spark):
+    # Each address stands in one document; the pool of its mail domain has four, and only they hold the terms.
+    told = [(i, f"{words(i, 9)} Qo unit R7x Vandelay writes worker{i}@corp.example {words(i + 50, 9)}") for i in range(4)]
+    told += [(10 + i, f"{words(i + 200, 9)} someone{i}@mail{i}.example {words(i + 90, 9)}") for i in range(4)]
+    told += [(20 + i, words(i + 300, 40) + " unit") for i in range(60)]
+    found = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    for i in range(4):
+        assert not set("Qo R7x Vandelay".split()) & set(found[i].sanitised.split()) and " unit " in found[i].sanitised
+        assert "term:" not in found[10 + i].spans
+    assert not any("term:" in found[20 + i].spans for i in range(60))
+
+
 def test_mixing(spark, docs, empty):
     got = queries.op1_mixing_budget(spark, SF).toArrow()
     assert rows(got) == rows(duck(queries.ORACLE_SQL["op1_mixing_budget"], SF))
