@@ -5,15 +5,17 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python: with texts of 100 KB a batch stays near 25 MB.
+#: Rows that a function over texts sees at once; Spark bounds the bytes of the Arrow batches that they are taken from.
 BATCH_ROWS = 256
+#: Folders written by :func:`cut` and not yet deleted, in order.
+_written: list[str] = []
 
 
 def by_value(name: str) -> None:
@@ -40,28 +42,66 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, executors may be lost."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, executors may be lost.
+
+    The files lie below one folder for each application, ``brindle-<application id>``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/brindle-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/brindle-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what :func:`cut` wrote for ``df``; later reads of it fail."""
     path = getattr(df, "_brindle_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`cut` of what ``make`` returns; whatever was cut on the way there is deleted."""
+    start = len(_written)
+    out = cut(make())
+    for path in _written[start:-1]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has cut; results that are still lazy can no longer be read."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def in_batches(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` in pieces small enough for long texts; no setting of the session is changed."""
+
+    def pieces(batches):
+        return fn(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(pieces, schema)
+
+
+def clear_of(df: DataFrame, *names: str) -> list[str]:
+    """``names`` as column names that ``df`` does not have, whatever it has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -80,14 +120,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hex64(column):
     """A long's unsigned value as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
-
-
-def batches_of(rows: Iterable, size: int) -> Iterator[list]:
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
