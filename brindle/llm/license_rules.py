@@ -5,13 +5,21 @@ identifier rule, a grant rule and a name rule; ``TEXTS`` adds rules for well-kno
 match of a rule's expression holds one of its keywords as a whole word.
 """
 
+from __future__ import annotations
+
+import re
+from dataclasses import asdict, dataclass
+from functools import cache
+
+import regex
+
 NAMES = """
 mit | mit | mit(?: expat)? | mit
 mit-0 | mit | mit (?:no attribution|0) | mit 0
 apache-2 | apache | apache(?: software)?(?: license| licence)?(?: version)? 2(?: 0)? | apache 2 0
 apache-1.1 | apache | apache(?: software)?(?: license| licence)?(?: version)? 1 1 | apache 1 1
 apache-1.0 | apache | apache(?: software)?(?: license| licence)?(?: version)? 1 0 | apache 1 0
-gpl-1 | gpl general gpl1 gplv1 | (?:gnu )?(?:gpl|general public license|general public licence)(?: v| version| v ersion)? ?v?1(?: 0)? | gpl 1 0(?: only| or later)?
+gpl-1 | gpl general gpl1 gplv1 | (?:gnu )?(?:gpl|general public license|general public licence)(?: v| version)? ?v?1(?: 0)? | gpl 1 0(?: only| or later)?
 gpl-2 | gpl general gpl2 gplv2 | (?:gnu )?(?:gpl|general public license|general public licence)(?: v| version)? ?v?2(?: 0)? | gpl 2 0(?: only| or later)?
 gpl-3 | gpl general gpl3 gplv3 | (?:gnu )?(?:gpl|general public license|general public licence)(?: v| version)? ?v?3(?: 0)? | gpl 3 0(?: only| or later)?
 gpl | gpl general | (?:gnu gpl|gnu general public license|gnu general public licence|gpl) | gpl
@@ -164,8 +172,40 @@ TEXTS = """
 GRANT = "(?:licensed|licenced|released|distributed|available|published|provided|covered|offered|redistributed|shared|used|copied)(?: by us)? under(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? "
 
 
-def rules() -> list[tuple[int, int, str, list[str], str, float]]:
-    """``(order, priority, label, keywords, expression, confidence)``; a match holds at least one of the keywords."""
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``openings`` are the words that a match can begin with, ``span`` is the most words that it can have."""
+
+    order: int
+    priority: int
+    label: str
+    keywords: tuple[str, ...]
+    expression: str
+    confidence: float
+    openings: tuple[str, ...]
+    span: int
+
+    def as_row(self) -> dict:
+        return asdict(self) | {"expression": f"^(?:{self.expression})(?= )"}
+
+
+def openings(expression: str, keywords: tuple[str, ...]) -> tuple[str, ...]:
+    """Of the words in an expression and its keywords, those that a match can begin with."""
+    form = regex.compile(expression)
+    words = {*re.findall("[0-9a-z]+", expression), *keywords}
+    return tuple(sorted(w for w in words if form.fullmatch(w) or form.fullmatch(f"{w} ", partial=True)))
+
+
+def span(expression: str) -> int:
+    """Spaces part words, and of the characters that a dot stands for every second one can be a space."""
+    return 1 + expression.count(" ") + sum(1 + int(n) // 2 for n in re.findall(r"\.\{0,([0-9]+)\}", expression))
+
+
+@cache
+def rules() -> tuple[Rule, ...]:
+    """All rules in order, each once; a match of one holds at least one of its keywords."""
     found: list[tuple[int, str, list[str], str, float]] = []
     for line in NAMES.strip().splitlines():
         label, keywords, name, identifier = (x.strip() for x in line.split(" | "))
@@ -175,4 +215,5 @@ def rules() -> list[tuple[int, int, str, list[str], str, float]]:
     for line in TEXTS.strip().splitlines():
         priority, label, keywords, expression, confidence = (x.strip() for x in line.split(" | "))
         found.append((int(priority), label, keywords.split(), expression, float(confidence)))
-    return [(i, *rule) for i, rule in enumerate(found)]
+    once = dict.fromkeys((p, label, tuple(k), e, c) for p, label, k, e, c in found)
+    return tuple(Rule(i, p, label, k, e, c, openings(e, k), span(e)) for i, (p, label, k, e, c) in enumerate(once))

@@ -1,13 +1,15 @@
 """License scans by ordered signature rules; DataFrame functions only.
 
 A gate over the lower-case text comes before everything else. Behind it, base phrases are matched on the text itself, and the
-signature rules on a normalised form, each only if one of its keywords is among the text's words. Detections are
-intervals; one that lies inside another of higher priority, or of equal priority and greater length, is dropped.
+signature rules on a normalised form, each only if one of its keywords is among the text's words, and only at words that
+can open a match. Detections are intervals; one that lies inside another of higher priority, or of equal priority and
+greater length, is dropped.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from brindle.llm.license_rules import rules
 
 #: Characters of a word, upper case included, and those between words.
-INSIDE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+INSIDE = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 #: Every base phrase and every rule's match holds one of these in lower case: as it is, or a word and an expression behind it.
@@ -41,36 +43,72 @@ def gate(text: Column) -> Column:
     return either
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body's own lambdas read it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def with_rules(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``__gate`` and, behind it, ``__norm`` and ``__rules``: the normalised ``text``, and the rules that have a keyword among its words."""
+    """``rows`` with ``__gate`` and, behind it, ``__words`` and ``__rules``: the normalised ``text``'s words, and the rules that have a keyword among them."""
     when = lambda value: F.when(F.col("__gate"), value)
     table = rules()
     # One constant instead of some thousand: the planner folds it once.
-    listed = json.dumps([{"order": o, "priority": p, "label": lab, "keywords": k, "expression": f"(?<= ){e}(?= )", "confidence": c} for o, p, lab, k, e, c in table])
-    literal = F.from_json(F.lit(listed), "array<struct<order int, priority int, label string, keywords array<string>, expression string, confidence double>>")
-    keywords = F.split(F.lit(" ".join(sorted({k for r in table for k in r[3]}))), " ")
+    kind = "array<struct<order int, priority int, label string, keywords array<string>, expression string, confidence double, openings array<string>, span int>>"
+    literal = F.from_json(F.lit(json.dumps([r.as_row() for r in table])), kind)
+    keywords = F.split(F.lit(" ".join(sorted({k for r in table for k in r.keywords}))), " ")
     rows = rows.withColumn("__gate", gate(F.col("text")))
-    rows = rows.withColumn("__norm", when(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", " ")), F.lit(" "))))
-    rows = rows.withColumn("__present", when(F.array_intersect(F.split("__norm", " "), keywords)))
-    return rows.withColumn("__rules", when(F.filter(literal, lambda r: F.arrays_overlap(F.col("__present"), r["keywords"])))).drop("__present")
+    rows = rows.withColumn("__words", when(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", " ")), " ")))
+    present = F.array_intersect("__words", keywords)
+    return rows.withColumn("__rules", when(let(present, lambda p: F.filter(literal, lambda r: F.arrays_overlap(p, r["keywords"])))))
+
+
+def detections(words: Column, rules_: Column) -> Column:
+    """What the rules find in the normalised words, contained ones suppressed: structs of a, b (words from a to before b), priority, order, label, confidence.
+
+    A rule is tried at each word that can open it, on the next words, as many as a match can have. Starts are
+    different words, so what can contain a detection lies among as many starts before it; nothing is
+    compared with all detections, and the work grows with the text's length.
+    """
+    widest = F.array_max(F.transform(rules_, lambda r: r["span"]))
+    opening = F.array_distinct(F.flatten(F.transform(rules_, lambda r: r["openings"])))
+
+    def starts(w: Column, width: Column, some: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: F.array_contains(some, s["w"]))
+        return F.transform(at, lambda s: F.struct(s["w"].alias("w"), s["i"].alias("i"), F.concat(F.array_join(F.slice(w, s["i"] + 1, width), " "), F.lit(" ")).alias("t")))
+
+    def length(s: Column, r: Column) -> Column:
+        n = let(F.regexp_substr(s["t"], r["expression"]), lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+        return F.coalesce(F.when(F.array_contains(r["openings"], s["w"]), n), F.lit(0))
+
+    def of_start(s: Column, j: Column, lengths: Column) -> Column:
+        one = lambda r, k: F.struct(s["i"].alias("a"), (s["i"] + F.get(F.get(lengths, k), j)).alias("b"), r["priority"].alias("priority"), r["order"].alias("order"), r["label"].alias("label"), r["confidence"].alias("confidence"))
+        return F.filter(F.transform(rules_, one), lambda d: d["b"] > d["a"])
+
+    def stronger(e: Column, d: Column) -> Column:
+        wide, narrow = e["b"] - e["a"], d["b"] - d["a"]
+        return (e["a"] <= d["a"]) & (e["b"] >= d["b"]) & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & ((wide > narrow) | ((wide == narrow) & (e["order"] < d["order"])))))
+
+    def kept(found: Column, width: Column) -> Column:
+        behind = lambda j: F.slice(found, F.greatest(F.lit(1), j + 2 - width), F.least(j + 1, width))
+        return F.flatten(F.transform(found, lambda own, j: F.filter(own, lambda d: ~F.exists(behind(j), lambda many: F.exists(many, lambda e: stronger(e, d))))))
 
+    def of(w: Column, width: Column, begun: Column) -> Column:
+        lengths = F.transform(rules_, lambda r: F.transform(begun, lambda s: length(s, r)))
+        found = let(lengths, lambda m: F.transform(begun, lambda s, j: of_start(s, j, m)))
+        return let(found, lambda f: kept(f, width))
 
-def _detections() -> Column:
-    """Of the columns ``__norm`` and ``__rules``: structs of start, end, priority, order, label and confidence."""
-    starts = "aggregate(slice(split(__norm, r.expression, -1), 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(regexp_extract_all(__norm, r.expression, 0), 1, i), 0, (a, x) -> a + length(x))"
-    one = f"transform(transform(regexp_extract_all(__norm, r.expression, 0), (m, i) -> struct({starts} AS a, length(m) AS n)), s -> struct(s.a AS a, s.a + s.n AS b, r.priority AS priority, r.order AS order, r.label AS label, r.confidence AS confidence))"
-    return F.expr(f"flatten(transform(__rules, r -> {one}))")
+    return let(words, lambda w: let(widest, lambda width: let(let(opening, lambda some: starts(w, width, some)), lambda begun: of(w, width, begun))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections)`` for each row.
 
-    ``detections`` are the rules' intervals, in characters of the normalised text, that are left after suppression;
+    ``detections`` are the rules' intervals, in words of the normalised text, that are left after suppression;
     ``score`` is the highest confidence among them and the base phrases, 0 without any. A null text is empty:
     no words, empty labels, null positions. Repeated rows are returned as often as given, whole texts are
     read, other columns are ignored, and an empty table gives an empty result.
     """
-    word = F.lit(f"{INSIDE}+")
+    word = F.lit(f"{INSIDE}++")
     either = "|".join(f"(?:{phrase(p)})" for p in BASE.values()).replace("(?i)", "")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_rules(rows)
@@ -83,9 +121,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     rows = rows.withColumns({"n_words": F.regexp_count("text", word).cast("long"), "n_base": n_base.cast("long"), "base": base_labels})
     rows = rows.withColumns({"first_word": place("?").cast("long"), "last_word": place("").cast("long")})
-    rows = rows.withColumn("__found", F.when(F.col("__gate") & (F.size("__rules") > 0), _detections()))
-    kept = F.expr("filter(__found, d -> NOT exists(__found, e -> e.a <= d.a AND e.b >= d.b AND (e.priority > d.priority OR (e.priority = d.priority AND (e.b - e.a > d.b - d.a OR (e.b - e.a = d.b - d.a AND e.order < d.order))))))")
-    rows = rows.withColumn("detections", F.coalesce(kept, F.expr("filter(array(struct(0 AS a, 0 AS b, 0 AS priority, 0 AS order, '' AS label, 0.0D AS confidence)), x -> false)")))
+    found = F.when(F.col("__gate") & (F.size("__rules") > 0), let(F.col("__rules"), lambda r: detections(F.col("__words"), r)))
+    rows = rows.withColumn("detections", F.coalesce(found, F.array().cast("array<struct<a int, b int, priority int, order int, label string, confidence double>>")))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda d: d["label"]))))
     score = F.greatest(F.when(F.col("n_base") > 0, BASE_CONFIDENCE).otherwise(0.0), F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.cast("double").alias("score"), "detections")
