@@ -12,15 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut
+from brindle.llm.common import clear_of, cut, settle
 
 LEVELS = ("domain", "lang", "source")
-#: A token is a run of characters other than space and the controls tab to carriage return.
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: A token is a run of characters other than space and the controls tab to carriage return; the second form is for Java, which reads it faster.
+WORD, JAVA_WORD = "[^\\x20\\x09-\\x0D]+", "\\S++"
 #: Hexadecimal digits of the order hash that one refinement step resolves, and the steps: 2^24 cells a leaf.
 DIGITS, STEPS = 2, 3
-#: Parts into which joins deal the rows of a leaf, so that a hot one does not meet in one task.
-PARTS = 16
+#: Least rows in a part of a leaf, by which joins deal a hot leaf to tasks, and the number of parts that all hot leaves have together, about.
+PART_ROWS, MOST_HOT = 256, 4_096
+#: Leaves up to which the tree is one partition.
+ONE_TASK = 20_000
 
 
 def weight_of(column: Column, weights: dict[str, int]) -> Column:
@@ -31,50 +33,101 @@ def weight_of(column: Column, weights: dict[str, int]) -> Column:
     return F.coalesce(pairs[column], F.lit(1))
 
 
-def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
-    """``nodes(*parent, name, w, cap, b)`` to ``(*parent, name, quota)``: budget ``b`` of each parent, filled to caps by weight."""
-    wide = "decimal(38,0)"
+def running(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: list[str]) -> DataFrame:
+    """``rows`` with, for each of ``values``, ``<value>_before``: its sum over those rows of equal ``keys`` that come earlier in ``order``.
+
+    ``bucket`` must not fall along ``order``. Buckets are summed first, so that no task sorts more than one bucket of a key.
+    """
+    rows = rows.withColumn("bucket", bucket)
+    past = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "bucket").agg(*[F.sum(v).alias(v) for v in values])
+    offsets = sums.select(*keys, "bucket", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(f"{v}_offset") for v in values])
+    inside = Window.partitionBy(*keys, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return own.join(offsets, [*keys, "bucket"]).withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"{v}_offset") for v in values}).drop("bucket", *[f"{v}_offset" for v in values])
+
+
+def share_in_one(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
+    """:func:`share_out` for a tree of bounded size, by windows over whole families."""
+    wide, product = "decimal(38,0)", "decimal(19,0)"
     family = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    rows = nodes.withColumns({"w": F.col("w").cast(wide), "cap": F.when(F.col("w") > 0, F.col("cap")).otherwise(0).cast(wide), "b": F.col("b").cast(wide)})
-    order = family.orderBy(F.when(F.col("w") > 0, F.col("cap").cast("double") / F.col("w").cast("double")).otherwise(0), F.col(name).asc_nulls_first())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"c_before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "w_rest": F.sum("w").over(family) - F.coalesce(F.sum("w").over(before), F.lit(0))})
-    full = (F.col("cap").cast("decimal(19,0)") * F.col("w_rest").cast("decimal(19,0)")) <= (F.col("w").cast("decimal(19,0)") * (F.col("b") - F.col("c_before")).cast("decimal(19,0)"))
-    rows = rows.withColumn("full", full)
+    rows = nodes.withColumns({"w": F.col("w").cast(wide), "cap": F.when(F.col("w") > 0, F.col("cap")).otherwise(0).cast(wide), "b": F.col("b").cast(wide), "tie": F.md5(F.col(name))})
+    before = family.orderBy(F.when(F.col("w") > 0, F.col("cap").cast("double") / F.col("w").cast("double")).otherwise(0.0), "tie", name).rowsBetween(Window.unboundedPreceding, -1)
+    c_before, w_rest = F.coalesce(F.sum("cap").over(before), F.lit(0)), F.sum("w").over(family) - F.coalesce(F.sum("w").over(before), F.lit(0))
+    rows = rows.withColumn("full", F.col("cap").cast(product) * w_rest.cast(product) <= F.col("w").cast(product) * (F.col("b") - c_before).cast(product))
     rows = rows.withColumns({"rest": F.col("b") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(family), F.lit(0)), "w_open": F.sum(F.when(~F.col("full"), F.col("w"))).over(family)})
-    product = F.col("w").cast("decimal(19,0)") * F.col("rest").cast("decimal(19,0)")
-    rows = rows.withColumns({"whole": F.when(F.col("full"), F.col("cap")).otherwise(F.floor((product - product % F.col("w_open")) / F.col("w_open")).cast(wide)), "over": F.when(F.col("full"), F.lit(-1).cast(wide)).otherwise((product % F.col("w_open")).cast(wide))})
-    rows = rows.withColumns({"spare": F.col("rest") - F.coalesce(F.sum(F.when(~F.col("full"), F.col("whole"))).over(family), F.lit(0)), "turn": F.row_number().over(family.orderBy(F.col("full"), F.col("over").desc(), F.col(name).asc_nulls_first()))})
+    due = F.col("w").cast(product) * F.col("rest").cast(product)
+    rows = rows.withColumn("over", F.when(~F.col("full"), due % F.col("w_open")).cast(wide))
+    rows = rows.withColumn("whole", F.when(F.col("full"), F.col("cap")).otherwise(F.floor((due - F.col("over")) / F.col("w_open"))).cast(wide))
+    spare = F.col("rest") - F.coalesce(F.sum(F.when(~F.col("full"), F.col("whole"))).over(family), F.lit(0))
+    turn = F.row_number().over(family.orderBy("full", F.col("over").desc(), "tie", name))
+    rows = rows.withColumns({"spare": spare, "turn": turn})
     return rows.select(*parent, name, (F.col("whole") + F.when(~F.col("full") & (F.col("turn") <= F.col("spare")), 1).otherwise(0)).cast("long").alias("quota"))
 
 
+def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
+    """``nodes(*parent, name, w, cap, b)`` to ``(*parent, name, quota)``: budget ``b`` of each parent, filled to caps by weight.
+
+    Nodes are filled in the order of cap over weight; equal ones fill together. What whole shares leave over goes, one token
+    each, to the largest remainders, ties by the hash of the name, then the name.
+    """
+    wide, product = "decimal(38,0)", "decimal(19,0)"
+    keys = ["top", *parent]
+    rows = nodes.withColumns({"top": F.lit(0), "w": F.col("w").cast(wide), "cap": F.when(F.col("w") > 0, F.col("cap")).otherwise(0).cast(wide), "b": F.col("b").cast(wide)})
+    rows = rows.withColumn("ratio", F.when(F.col("w") > 0, F.col("cap").cast("double") / F.col("w").cast("double")).otherwise(0.0))
+    steps = rows.groupBy(*keys, "ratio").agg(F.sum("cap").cast(wide).alias("cap"), F.sum("w").cast(wide).alias("w"), F.first("b").alias("b"))
+    octave = F.when(F.col("ratio") > 0, F.floor(64 * F.log2("ratio"))).otherwise(-1_000_000)
+    whole_w = steps.groupBy(*keys).agg(F.sum("w").alias("w_all"))
+    steps = running(steps, keys, octave, [F.col("ratio")], ["cap", "w"]).join(whole_w, keys)
+    full = F.col("cap").cast(product) * (F.col("w_all") - F.col("w_before")).cast(product) <= F.col("w").cast(product) * (F.col("b") - F.col("cap_before")).cast(product)
+    last = steps.withColumn("full", full).groupBy(*keys).agg(F.max(F.when(F.col("full"), F.col("ratio"))).alias("last"), (F.first("b") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))), F.lit(0))).alias("rest"), F.sum(F.when(~F.col("full"), F.col("w"))).alias("w_open"))
+    rows = rows.join(last, keys).withColumn("full", F.coalesce(F.col("ratio") <= F.col("last"), F.lit(False)))
+    done = rows.where("full").select(*parent, name, F.col("cap").alias("quota"))
+    due = F.col("w").cast(product) * F.col("rest").cast(product)
+    some = rows.where("NOT full").withColumns({"over": (due % F.col("w_open")).cast(wide), "one": F.lit(1), "tie": F.md5(F.col(name))})
+    some = some.withColumn("whole", F.floor((due - F.col("over")) / F.col("w_open")).cast(wide))
+    spare = some.groupBy(*keys).agg((F.first("rest") - F.sum("whole")).alias("spare"))
+    bucket = -F.floor(F.col("over") * 1024 / F.col("w_open")) * 4096 + F.conv(F.substring("tie", 1, 3), 16, 10).cast("long")
+    some = running(some, keys, bucket, [F.col("over").desc(), F.col("tie"), F.col(name)], ["one"]).join(spare, keys)
+    open_ = some.select(*parent, name, (F.col("whole") + F.when(F.col("one_before") < F.col("spare"), 1).otherwise(0)).alias("quota"))
+    return done.unionByName(open_).withColumn("quota", F.col("quota").cast("long"))
+
+
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, int], epochs: int) -> DataFrame:
     """``leaves(domain, lang, source, supply)`` to the same with ``quota``; the budget is ``share`` of the supply."""
-    capped = leaves.withColumn("cap", F.col("supply") * epochs)
-    quota: DataFrame | None = None
+    # A tree of bounded size is worked on as one partition, without exchanges; the shares are the same.
+    small = leaves.count() <= ONE_TASK
+    near = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    capped = near(leaves).withColumn("cap", F.col("supply") * epochs)
+    quota = near(leaves).agg((F.expr(f"sum(supply) * {share[0]}L div {share[1]}L")).alias("quota"))
     for depth, name in enumerate(LEVELS):
         parent = list(LEVELS[:depth])
-        nodes = capped.groupBy(*parent, name).agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply")).withColumn("w", weight_of(F.col(name), weights.get(name, {})))
-        if quota is None:
-            nodes = nodes.withColumn("b", F.expr(f"(sum(supply) over (partition by 0)) * {share[0]}L div {share[1]}L"))
-        else:
-            nodes = nodes.join(quota.withColumnRenamed("quota", "b"), parent)
-        quota = share_out(nodes, parent, name)
+        nodes = capped.groupBy(*parent, name).agg(F.sum("cap").alias("cap")).withColumn("w", weight_of(F.col(name), weights.get(name, {})))
+        above = quota.withColumnRenamed("quota", "b")
+        nodes = nodes.join(above, parent) if parent else nodes.crossJoin(above)  # one row: the whole budget
+        quota = near(cut((share_in_one if small else share_out)(nodes, parent, name)))
     return leaves.join(quota, list(LEVELS))
 
 
-def _by_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """An inner join on ``leaf`` with a table that has one row a leaf, dealt by parts of each leaf."""
-    dealt = leaves.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return rows.withColumn("__part", F.pmod(F.xxhash64("doc_id", "k"), F.lit(PARTS)).cast("int")).join(dealt, ["leaf", "__part"]).drop("__part")
+def _deal(base: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``base`` and ``leaves`` with a ``part`` of each leaf: rows are spread over the parts, and a leaf has a row for each.
+
+    Only leaves with more than a 4,096th of all rows have several parts, so the table of these, which is broadcast, has fewer rows than that.
+    """
+    rows = leaves.agg(F.sum("n")).first()[0] or 0
+    size = max(PART_ROWS, -(-rows // MOST_HOT))
+    hot = F.broadcast(leaves.where(F.col("n") > size).select("leaf", F.ceil(F.col("n") / size).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    spread = base.join(hot, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "k"), parts).cast("int")).drop("parts")
+    return spread, leaves.join(hot, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
 
 
-def _prefix(rows: DataFrame) -> DataFrame:
-    """Of ``rows(leaf, h, rest, ...)``, those within the first ``rest`` tokens of each leaf in the order of ``h``, with ``taken``.
+def _prefix(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of ``rows(leaf, part, h, rest, ...)``, those within the first ``rest`` tokens of each leaf in the order of ``h``, with ``taken``.
 
     Step by step, token sums of hash cells find the cell in which a leaf's prefix ends: rows of earlier
     cells are taken whole, rows of later ones are not, and only rows of that cell are looked at further.
-    No step sorts or gathers a leaf's rows.
+    No step sorts or gathers a leaf's rows. ``parts(leaf, part)`` lists the parts of each leaf.
     """
     done: list[DataFrame] = []
     for step in range(STEPS):
@@ -82,7 +135,7 @@ def _prefix(rows: DataFrame) -> DataFrame:
         sums = rows.groupBy("leaf", cell.alias("cell")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
         past = Window.partitionBy("leaf").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         ends = sums.withColumn("before", F.coalesce(F.sum("n").over(past), F.lit(0))).where("before < rest AND before + n >= rest").select("leaf", F.col("cell").alias("end"), "before")
-        split = _by_leaf(rows, ends).withColumn("cell", cell)
+        split = rows.join(ends.join(parts, "leaf"), ["leaf", "part"]).withColumn("cell", cell)
         done.append(split.where("cell < end").withColumn("taken", F.col("n_tokens")).drop("cell", "end", "before"))
         rows = split.where("cell = end").withColumn("rest", F.col("rest") - F.col("before")).drop("cell", "end", "before")
     past = Window.partitionBy("leaf").orderBy("h", "doc_id", "k").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,15 +154,18 @@ def selection(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]
     null or wordless text has no tokens and is never selected; if the tree cannot supply the budget,
     all of it is used ``epochs`` times; an empty table gives an empty result.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"), F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    leaf = F.struct(F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"), leaf.alias("leaf"), F.coalesce(F.regexp_count("text", F.lit(JAVA_WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     base = cut(base.where("n_tokens > 0").distinct())
-    leaves = base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
-    quotas = budgets(leaves, weights, share, epochs).select(F.struct(*LEVELS).alias("leaf"), F.expr("quota div supply").cast("int").alias("whole"), F.expr("quota % supply").alias("rest"))
-    rows = _by_leaf(base.withColumn("leaf", F.struct(*LEVELS)), quotas)
+    leaves = cut(base.groupBy("leaf").agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n")).select("leaf", "leaf.*", "supply", "n"))
+    spread, parts = _deal(base, leaves)
+    quotas = budgets(leaves, weights, share, epochs).select("leaf", F.expr("quota div supply").cast("int").alias("whole"), F.expr("quota % supply").alias("rest"))
+    parts = cut(parts.select("leaf", "part"))
+    rows = spread.join(quotas.join(parts, "leaf"), ["leaf", "part"])
     every = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).withColumn("taken", F.col("n_tokens"))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
-    partial = _prefix(cut(rows.where("rest > 0").withColumn("h", h))).withColumn("epoch", F.col("whole"))
-    wanted = ["doc_id", "k", *LEVELS, "epoch", "n_tokens", "taken"]
+    partial = _prefix(cut(rows.where("rest > 0").withColumn("h", h)), parts).withColumn("epoch", F.col("whole"))
+    wanted = ["doc_id", "k", *[F.col("leaf")[x].alias(x) for x in LEVELS], "epoch", "n_tokens", "taken"]
     return every.select(wanted).unionByName(partial.select(wanted))
 
 
@@ -117,13 +173,15 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], **o
     """The selected documents with the columns of ``docs``, one row for each epoch that uses a document.
 
     The document at the end of a leaf's prefix is cut to its first ``taken`` words, joined by one space.
-    Other edge cases are those of :func:`selection`; repeated rows are returned as often as given.
+    Other edge cases are those of :func:`selection`; repeated rows are returned as often as given, and
+    columns of any other name stay as they are.
     """
-    chosen = selection(docs, domain, weights, **options).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "n_tokens", "taken").withColumnsRenamed({"n_tokens": "__n", "taken": "__taken"})
-    joined = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__k")))
-    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("__taken").cast("int")), " ")
-    text = F.when(F.col("__taken") < F.col("__n"), short).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c == "text" else F.char_length(text).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    id_, key, n, taken = clear_of(docs, "id", "k", "n", "taken")
+    chosen = settle(lambda: selection(docs, domain, weights, **options).select(F.col("doc_id").alias(id_), F.col("k").alias(key), F.col("n_tokens").alias(n), F.col("taken").alias(taken)))
+    joined = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)))
+    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({JAVA_WORD})")), 1, F.col(taken).cast("int")), " ")
+    text = F.when(F.col(taken) < F.col(n), short).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _share_sql(source: str, parent: str, name: str) -> str:
@@ -132,7 +190,7 @@ def _share_sql(source: str, parent: str, name: str) -> str:
     return f"""(
   SELECT {keys}, whole + CASE WHEN NOT saturated AND turn <= spare THEN 1 ELSE 0 END AS quota FROM (
     SELECT *, rest - coalesce(sum(whole) FILTER (WHERE NOT saturated) OVER ({part}), 0) AS spare,
-      row_number() OVER ({part} ORDER BY saturated, over_ DESC, {name}) AS turn FROM (
+      row_number() OVER ({part} ORDER BY saturated, over_ DESC, md5({name}), {name}) AS turn FROM (
       SELECT *, CASE WHEN saturated THEN cap ELSE w * rest // w_open END AS whole, CASE WHEN saturated THEN -1 ELSE w * rest % w_open END AS over_ FROM (
         SELECT *, b - coalesce(sum(cap) FILTER (WHERE saturated) OVER ({part}), 0) AS rest, sum(w) FILTER (WHERE NOT saturated) OVER ({part}) AS w_open FROM (
           SELECT *, cap * w_rest <= w * (b - c_before) AS saturated FROM (
