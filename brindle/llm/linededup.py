@@ -5,7 +5,8 @@ makes them equal. Emitting a variant for every character of every line would be
 text, so the neighbourhood is emitted coarse to fine, each step only for lines that still have a possible
 partner: first variants without one half, then without one of about sqrt(n) blocks, then, inside such a
 block, without one character. Every step is a join of equal hashed variants, and each is lossless: of two
-lines that are one edit apart, what lies before and after the edited block is equal.
+lines that are one edit apart, what lies before and after the edited block is equal. At last the edit distance of
+the whole lines is verified.
 
 A variant belongs to a length class ``L``, the longer line's length: a line of ``n`` characters takes part
 in the classes ``n`` and ``n + 1``. Groups of equal variants are linked to their earliest line only.
@@ -16,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut
+from brindle.llm.common import clear_of, cut
 
-#: Shorter lines are compared exactly: one edit changes too much of them.
-MIN_CHARS = 16
+#: Characters from which lines are compared within the edit bound: by default all are.
+MIN_CHARS = 1
 #: The prefilter's bitmap: bits for each sought line, and its greatest size (a broadcast of at most 32 MB).
 BITS_A_LINE, MOST_BITS = 16, 1 << 26
 
@@ -89,8 +90,10 @@ def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
     near = blocks.join(_several(blocks), "key")
     one_less = F.expr("if(n = L, concat(left(mid, j), substring(mid, j + 2)), mid)")
     variants = near.select("key", "h", "g", "o", "n", "L", "mid", F.explode(F.expr("sequence(0, width - 1)")).alias("j")).select(F.xxhash64("key", "j", one_less).alias("v"), "h", "g", "o", "mid")
-    earliest = variants.groupBy("v").agg(F.min(F.struct("o", "mid")).alias("first"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("v", "first")
-    gone = variants.join(earliest, "v").where("o > first.o AND levenshtein(mid, first.mid, 1) >= 0").select("h", "g").distinct()
+    earliest = variants.groupBy("v").agg(F.min(F.struct("o", "mid", "h", "g")).alias("first"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("v", "first")
+    pairs = variants.join(earliest, "v").where("o > first.o AND levenshtein(mid, first.mid, 1) >= 0").select("h", "g", F.col("first.h").alias("fh"), F.col("first.g").alias("fg")).distinct()
+    own, other = texts.select("h", "g", "t"), texts.select(F.col("h").alias("fh"), F.col("g").alias("fg"), F.col("t").alias("ft"))
+    gone = pairs.join(own, ["h", "g"]).join(other, ["fh", "fg"]).where("levenshtein(t, ft, 1) >= 0").select("h", "g").distinct()
     return distinct.join(gone, ["h", "g"], "left_anti").select("o.*")
 
 
@@ -102,18 +105,19 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
     than ``min_chars`` characters are compared exactly, and the earliest of a set of equal lines stays.
     Rows that repeat doc_id and text are one document and are returned as often as given; a null doc_id
     comes before all others; a null text stays null, with no lines; an empty table gives an empty result.
-    Columns of ``docs`` named ``n_lines`` or ``n_removed`` are replaced.
+    Columns of ``docs`` named ``n_lines`` or ``n_removed`` are replaced, others stay whatever their names.
     """
     docs = docs.drop("n_lines", "n_removed")
+    id_, key, mask, lines_, stay, n_lines, n_removed = clear_of(docs, "id", "k", "mask", "lines", "stay", "n_lines", "n_removed")
     kept = kept_lines(docs, max_edits, min_chars).select("doc_id", "k", F.expr("line_no div 64").cast("int").alias("w"), F.expr("shiftleft(1L, line_no % 64)").alias("bit"))
     words = kept.groupBy("doc_id", "k", "w").agg(F.bit_or("bit").alias("bits"))
-    masks = words.groupBy("doc_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("__mask")).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "__mask")
-    joined = docs.join(masks, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__k")), "left")
-    stays = F.expr("filter(__lines, (x, i) -> trim(BOTH ' \\t\\r\\f\\u000B' FROM x) = '' OR shiftright(coalesce(__mask[i div 64], 0L), i % 64) & 1L = 1L)")
-    done = joined.withColumn("__lines", F.split("text", "\n", -1)).withColumn("__kept", stays)
-    text = F.array_join("__kept", "\n")
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    return done.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("__kept")).cast("long").alias("n_removed"))
+    masks = words.groupBy("doc_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias(mask)).select(F.col("doc_id").alias(id_), F.col("k").alias(key), mask)
+    joined = docs.join(masks, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
+    stays = F.expr(f"filter({lines_}, (x, i) -> {_TRIMMED.replace('__line', 'x')} = '' OR shiftright(coalesce({mask}[i div 64], 0L), i % 64) & 1L = 1L)")
+    done = joined.withColumn(lines_, F.split("text", "\n", -1)).withColumn(stay, stays)
+    n = F.coalesce(F.size(lines_), F.lit(0))
+    done = done.withColumns({n_lines: F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), n_removed: F.when(F.col("text").isNull(), 0).otherwise(n - F.size(stay)).cast("long")})
+    return done.withColumn("text", F.array_join(stay, "\n")).select(*[F.col(f"`{c}`") for c in docs.columns], n_lines, n_removed)
 
 
 ORACLE_SQL = """
@@ -125,8 +129,7 @@ WITH l AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, line_no) AS r FROM l WHERE t <> '') WHERE r = 1
 ), near AS (
   SELECT DISTINCT b.doc_id, b.line_no FROM f a JOIN f b ON a.n IN (b.n - 1, b.n, b.n + 1) AND a.o < b.o
-  WHERE least(a.n, b.n) >= 16
-    AND (left(a.t, least(a.n, b.n) // 2) = left(b.t, least(a.n, b.n) // 2) OR right(a.t, least(a.n, b.n) // 2) = right(b.t, least(a.n, b.n) // 2))
+  WHERE (left(a.t, least(a.n, b.n) // 2) = left(b.t, least(a.n, b.n) // 2) OR right(a.t, least(a.n, b.n) // 2) = right(b.t, least(a.n, b.n) // 2))
     AND len(list_filter(range(greatest(a.n, b.n)), lambda i:
       left(a.t, i) = left(b.t, i) AND substr(a.t, i + 1 + (a.n >= b.n)::INT) = substr(b.t, i + 1 + (b.n >= a.n)::INT))) > 0
 ), kept AS (
