@@ -4,7 +4,9 @@ A window is 50 consecutive words. Pass one sketches, in each partition, how many
 window's anchor: the smallest hash of the 8-word grams in the window. A repeated window repeats its anchor,
 so anchor counts are at least the windows' counts, and one anchor stands for some twenty windows. The
 partition sketches are merged cell by cell. Pass two emits only windows whose every sketch cell was seen in two or
-more documents, and groups these exactly, so nothing is lost; a third step removes the covered words.
+more documents, and groups these by 96 bits of their words' hash, so nothing is lost; a third step removes the
+covered words. The sketch's cells grow with the text. Up to a bound it is broadcast; beyond it stays distributed, and
+each document's anchors are looked up by joins with its blocks.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import by_value, cut, discard, in_batches, record_batch, utf8
+from brindle.llm.common import by_value, cut, discard, in_batches, record_batch, settle, utf8
 
 by_value(__name__)
 
-#: Words of an anchor; rows of the sketch; its cells for each kilobyte of text; its greatest width (two bitmaps of 32 MB each).
+#: Words of an anchor; rows of the sketch; its cells for each kilobyte of text; the width up to which it is broadcast (two bitmaps of 32 MB each).
 ANCHOR, DEPTH, CELLS_A_KB, MOST_BITS = 8, 2, 64, 28
 #: Cells of a block, in which partition sketches are merged.
 BLOCK_BITS = 16
@@ -61,15 +63,17 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - length)], h[n - length :]) if n > length else h
 
 
-def windows(text: bytes | None, size: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The hash and the anchor of each window of a text; None if it has fewer than ``size`` words."""
+def word_hashes(text: bytes | None, size: int) -> np.ndarray | None:
+    """A hash of each word of a text; None if it has fewer than ``size`` words."""
     words = (text or b"").split()
-    if len(words) < size:
-        return None
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) if len(words) >= size else None
+
+
+def anchors(h: np.ndarray, size: int) -> np.ndarray:
+    """The anchor of each window."""
     span = min(ANCHOR, size)
     with np.errstate(over="ignore"):
-        return _runs(h, size, 11), _least(_runs(h, span, 7), size - span + 1)
+        return _least(_runs(h, span, 7), size - span + 1)
 
 
 def cells(anchor: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -102,9 +106,9 @@ def sketch(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
         for b in batches:
             for text in utf8(b.column(0)):
-                found = windows(text, size)
-                if found is not None:
-                    anchor = np.unique(found[1])
+                h = word_hashes(text, size)
+                if h is not None:
+                    anchor = np.unique(anchors(h, size))
                     for row in range(DEPTH):
                         held[row].append(np.unique(cells(anchor, row, bits)))
                     room += len(anchor)
@@ -127,52 +131,95 @@ def sketch(docs: DataFrame, size: int, bits: int) -> DataFrame:
     return in_batches(docs.select(F.col("text").cast("string")), count, "row int, block int, cells binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bitmap binary")
 
 
-def repeated_windows(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``(doc_id, start)`` of each window that also starts in a document with a smaller doc_id, and the written tables that it reads."""
-    spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(BLOCK_BITS, int(chars // 1024 * CELLS_A_KB).bit_length()))
-    # The sketch has at most DEPTH * 2^MOST_BITS bits however large the input, 64 MB; if it fills up, more windows are grouped, and none is missed.
-    maps = np.zeros((DEPTH, 1 << (bits - 3)), np.uint8)
-    for r in sketch(docs, size, bits).toLocalIterator():
-        at = r["block"] << (BLOCK_BITS - 3)
-        maps[r["row"], at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(r["bitmap"], np.uint8)
-    shared = spark.sparkContext.broadcast(maps)
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("w", pa.int64())])
+def _emit(rows: DataFrame, size: int, keep) -> DataFrame:
+    """``(doc_id, start, w, x)`` of the windows of ``rows(doc_id, text, ...)`` whose anchors ``keep(other columns of the row, distinct anchors)`` marks; ``w`` and ``x`` are 96 bits of the words' hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("w", pa.int64()), ("x", pa.int32())])
 
     def emit(batches):
-        full = shared.value
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                found = windows(text, size) if doc is not None else None
-                if found is None:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            others = zip(*[c.to_pylist() for c in b.columns[2:]], strict=True) if b.num_columns > 2 else ((),) * b.num_rows
+            for doc, text, other in zip(b.column(0).to_pylist(), utf8(b.column(1)), others, strict=True):
+                h = word_hashes(text, size) if doc is not None else None
+                if h is None:
                     continue
-                anchor, where = np.unique(found[1], return_inverse=True)
-                keep = np.ones(len(anchor), bool)
-                for row in range(DEPTH):
-                    c = cells(anchor, row, bits)
-                    keep &= (full[row, c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                start = np.nonzero(keep[where])[0]
+                anchor, where = np.unique(anchors(h, size), return_inverse=True)
+                start = np.nonzero(keep(other, anchor)[where])[0]
                 if len(start):
+                    with np.errstate(over="ignore"):
+                        w, x = _runs(h, size, 11)[start], _runs(h, size, 13)[start] >> np.uint64(32)
                     out[0].append(np.full(len(start), doc, np.int64))
                     out[1].append(start.astype(np.int32))
-                    out[2].append(found[0][start].view(np.int64))
+                    out[2].append(w.view(np.int64))
+                    out[3].append(x.astype(np.uint32).view(np.int32))
             if out[0]:
-                yield record_batch([np.concatenate(x) for x in out], schema)
+                yield record_batch([np.concatenate(c) for c in out], schema)
+
+    return in_batches(rows, emit, "doc_id long, start int, w long, x int")
+
+
+def _by_broadcast(rows: DataFrame, size: int, bits: int) -> DataFrame:
+    """Windows whose anchors the whole sketch, at most DEPTH * 2^MOST_BITS bits, has seen in two documents."""
+    maps = np.zeros((DEPTH, 1 << (bits - 3)), np.uint8)
+    for r in sketch(rows, size, bits).toLocalIterator():
+        at = r["block"] << (BLOCK_BITS - 3)
+        maps[r["row"], at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(r["bitmap"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(maps)
+
+    def keep(_, anchor):
+        marked = np.ones(len(anchor), bool)
+        for row in range(DEPTH):
+            c = cells(anchor, row, bits)
+            marked &= (shared.value[row, c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return marked
+
+    return _emit(rows.select("doc_id", "text"), size, keep)
+
+
+def _by_joins(rows: DataFrame, size: int, bits: int) -> DataFrame:
+    """The same by joins of each document's distinct anchors with the blocks of the sketch; a hot block's rows are split as any skewed join's."""
+    merged = cut(sketch(rows, size, bits))
+    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), *[(f"c{row}", pa.int64()) for row in range(DEPTH)]])
 
-    some = in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), emit, "doc_id long, start int, w long")
-    some = cut(some)
+    def list_anchors(batches):
+        for b in batches:
+            out = []
+            for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                h = word_hashes(text, size) if doc is not None else None
+                if h is not None:
+                    anchor = np.unique(anchors(h, size))
+                    out.append((np.full(len(anchor), doc, np.int64), anchor.view(np.int64), *[cells(anchor, row, bits).view(np.int64) for row in range(DEPTH)]))
+            if out:
+                yield record_batch([np.concatenate(c) for c in zip(*out, strict=True)], schema)
+
+    asked = in_batches(rows.select("doc_id", "text"), list_anchors, "doc_id long, anchor long, " + ", ".join(f"c{row} long" for row in range(DEPTH)))
+    for row in range(DEPTH):
+        blocks = merged.where(F.col("row") == row).select("block", "bitmap")
+        inside = F.col(f"c{row}") % (1 << BLOCK_BITS)
+        byte = F.conv(F.hex(F.substring("bitmap", (F.floor(inside / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.expr(f"shiftright(__byte, cast(c{row} % 8 AS int)) & 1 = 1")
+        asked = asked.withColumn("block", F.shiftright(f"c{row}", BLOCK_BITS).cast("int")).join(blocks, "block").withColumn("__byte", byte).where(bit).drop("block", "bitmap", "__byte")
+    wanted = asked.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("anchor").alias("wanted"))  # bounded by the document's own words
+    known = rows.join(wanted, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "wanted")
+    return _emit(known, size, lambda other, anchor: np.isin(anchor, np.array(other[0], np.int64).view(np.uint64)))
+
+
+def repeated_windows(docs: DataFrame, size: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, list[DataFrame]]:
+    """``(doc_id, start)`` of each window that also starts in a document with a smaller doc_id, and the written tables that it reads."""
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(BLOCK_BITS, int(chars // 1024 * CELLS_A_KB).bit_length())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = settle(lambda: (_by_broadcast if bits <= most_bits else _by_joins)(rows, size, bits))
     # Counts meet before the shuffle; only windows of two documents or more come back.
-    first = some.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
+    first = some.groupBy("w", "x").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "x", "first")
     first = cut(first)  # the join then has plain exchanges on both sides, whose hot windows Spark can split
-    return some.join(first, "w").where("doc_id > first").select("doc_id", "start"), [some, first]
+    return some.join(first, ["w", "x"]).where("doc_id > first").select("doc_id", "start"), [some, first]
 
 
-def removals(docs: DataFrame, size: int = 50) -> DataFrame:
+def removals(docs: DataFrame, size: int = 50, most_bits: int = MOST_BITS) -> DataFrame:
     """``(doc_id, starts)``: the distinct starts of a document's repeated windows, as little-endian 32-bit numbers in order."""
     schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
-    repeated, written = repeated_windows(docs, size)
+    repeated, written = repeated_windows(docs, size, most_bits)
     found = repeated.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("s"))  # bounded by the document's own words
 
     def pack(batches):
@@ -198,7 +245,7 @@ def covered(n: int, starts: bytes | None, size: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def dedup_substrings(docs: DataFrame, size: int = 50, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = 50, with_text: bool = True, most_bits: int = MOST_BITS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` for each row.
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id; windows are judged on
@@ -220,7 +267,7 @@ def dedup_substrings(docs: DataFrame, size: int = 50, with_text: bool = True) ->
                 out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
             yield record_batch(list(zip(*out, strict=True)) if out else [[] for _ in fields], schema)
 
-    joined = rows.join(removals(rows, size).withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "starts")
+    joined = rows.join(removals(rows, size, most_bits).withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "starts")
     return in_batches(joined, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
