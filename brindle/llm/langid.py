@@ -1,29 +1,33 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of order four per language is fitted on a bounded, seeded sample of labelled documents. A
-character n-gram packs into 64 bits (16 a symbol); the n-grams of all languages form one sorted
-array per order, beside a matrix with each language's log probability, so that a position of a text costs
-one binary search for all languages, and a few more where it must back off. A text gets the language
+One model of order four per language is fitted on a bounded, seeded sample of labelled documents, whole texts
+of them. A character n-gram packs into 64 bits (16 a symbol); the n-grams of some languages, a shard,
+form one sorted array per order, beside a matrix with each language's log probability, so that a position of a text costs
+one binary search for all languages of the shard, and a few more where it must back off. A text gets the language
 of the lowest cross-entropy per character, and is rejected if that entropy is far above what held-back
 sample documents of the language show.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import by_value, in_batches
+from brindle.llm.common import by_value, clear_of, in_batches
 
 by_value(__name__)
 
 ORDER, NO_LETTER, UNKNOWN = 4, 0, 1
-#: Bounds of the fitting sample: documents of a language, characters read of each, and symbols told apart.
-SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS = 500, 4_000, 60_000
-CHUNK = 500_000
+#: Bounds of the fitting sample: documents of a language, and of all together; letters told apart, the most frequent ones.
+SAMPLE_DOCS, SAMPLE_ROWS, SYMBOLS = 500, 20_000, 65_000
+#: Languages that share sorted arrays; positions scored at a time.
+SHARD, CHUNK = 8, 500_000
 
 
 def codes(text: str) -> np.ndarray:
@@ -31,27 +35,25 @@ def codes(text: str) -> np.ndarray:
 
 
 def letters_table(texts: list[str]) -> np.ndarray:
-    """For each code point below 65,536 its symbol: 0 no letter, 1 a letter not seen, else a seen letter's number; case is folded."""
-    seen = np.bincount(np.concatenate([np.minimum(codes(t.lower()), 65_535) for t in texts] or [np.zeros(0, np.uint32)]), minlength=65_536)
-    table, numbers = np.zeros(65_536, np.uint16), {}
-    for c in sorted(np.nonzero(seen)[0], key=lambda c: (-seen[c], c)):
-        if chr(c).isalpha() and len(numbers) < SYMBOLS:
-            numbers[int(c)] = len(numbers) + 2
-    for c in range(65_535):
-        if chr(c).isalpha():
-            low = chr(c).lower()
-            table[c] = numbers.get(ord(low), UNKNOWN) if len(low) == 1 else UNKNOWN
+    """For each code point its symbol: 0 no letter, 1 a letter not seen, else a seen letter's number; case is folded."""
+    seen = np.zeros(sys.maxunicode + 1, np.int64)
+    for t in texts:
+        np.add.at(seen, codes(t.lower()), 1)
+    letter = np.fromiter((chr(c).isalpha() for c in range(len(seen))), bool, len(seen))
+    order = np.nonzero((seen > 0) & letter)[0]
+    order = order[np.lexsort((order, -seen[order]))][:SYMBOLS]
+    table = letter.astype(np.uint16)
+    table[order] = np.arange(2, len(order) + 2)
+    for c in np.nonzero(letter)[0].tolist():
+        low = chr(c).lower()
+        if low != chr(c):
+            table[c] = table[ord(low)] if len(low) == 1 else UNKNOWN
     return table
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     """A text's symbols; each run of other characters is one 0, and a 0 comes first."""
-    raw = codes(text)
-    out = table[np.minimum(raw, 65_535)]
-    if len(raw) and raw.max() >= 65_535:
-        high = np.nonzero(raw >= 65_535)[0]
-        out[high] = [UNKNOWN if chr(c).isalpha() else NO_LETTER for c in raw[high]]
-    out = np.concatenate([[np.uint16(0)], out])
+    out = np.concatenate([[np.uint16(0)], table[codes(text)]])
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
@@ -80,9 +82,20 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == key
 
 
-def fit(texts: list[str], langs: list[str]) -> dict:
-    """Models of all languages: for each order the sorted n-grams and log probabilities, the sorted contexts and log back-off weights."""
+def fit(texts: list[str], langs: list[str], shard: int = SHARD) -> dict:
+    """Models of all languages, ``shard`` of them sharing arrays."""
     names, table = sorted(set(langs)), letters_table(texts)
+    shards = []
+    for i in range(0, len(names), shard):
+        some = set(names[i : i + shard])
+        rows = [(t, x) for t, x in zip(texts, langs, strict=True) if x in some]
+        shards.append(fit_shard(*map(list, zip(*rows, strict=True)), table))
+    return {"names": names, "table": table, "shards": shards}
+
+
+def fit_shard(texts: list[str], langs: list[str], table: np.ndarray) -> dict:
+    """Models of some languages: for each order the sorted n-grams and log probabilities, the sorted contexts and log back-off weights."""
+    names = sorted(set(langs))
     vocabulary = int(table.max()) + 1
     counts = []  # [language][order] = (keys, counts); below the highest order counts are of distinct left neighbours
     for name in names:
@@ -91,7 +104,7 @@ def fit(texts: list[str], langs: list[str]) -> dict:
         for n in range(ORDER - 1, 0, -1):
             levels[n] = np.unique(_low(levels[n + 1][0], n), return_counts=True)
         counts.append(levels)
-    model = {"names": names, "table": table, "orders": {}}
+    model = {"names": names, "orders": {}}
     lower = None
     for n in range(1, ORDER + 1):
         keys = np.unique(np.concatenate([c[n][0] for c in counts]))
@@ -118,7 +131,13 @@ def fit(texts: list[str], langs: list[str]) -> dict:
 def entropies(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
     """Each sequence's cross-entropy a symbol, in nats, under each language."""
     key, owner = grams(sequences)
-    sums = np.zeros((len(sequences), len(model["names"])))
+    sums = np.concatenate([_sums(shard, key, owner, len(sequences)) for shard in model["shards"]], axis=1)
+    return -sums / np.array([[len(s)] for s in sequences])
+
+
+def _sums(model: dict, key: np.ndarray, owner: np.ndarray, n_sequences: int) -> np.ndarray:
+    """Log probabilities under the languages of a shard, summed by sequence."""
+    sums = np.zeros((n_sequences, len(model["names"])))
     for i in range(0, len(key), CHUNK):
         part, score = key[i : i + CHUNK], None
         score, open_ = np.zeros((len(part), sums.shape[1]), np.float32), np.arange(len(part))
@@ -132,8 +151,8 @@ def entropies(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
             score[open_[hit]] += logb[at[hit]]
         score[open_] += model["floor"]
         for j in range(sums.shape[1]):
-            sums[:, j] += np.bincount(owner[i : i + CHUNK], score[:, j], len(sequences))
-    return -sums / np.array([[len(s)] for s in sequences])
+            sums[:, j] += np.bincount(owner[i : i + CHUNK], score[:, j], n_sequences)
+    return sums
 
 
 def calibrate(model: dict, texts: list[str], langs: list[str]) -> dict:
@@ -154,21 +173,23 @@ def calibrate(model: dict, texts: list[str], langs: list[str]) -> dict:
     return model
 
 
-def train(docs: DataFrame, learnable: Column, seed: str = "langid", docs_a_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict | None:
-    """Fit and calibrate on at most ``docs_a_language`` labelled documents of each language, chosen by hash; None without any."""
-    labelled = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def train(docs: DataFrame, learnable: Column, seed: str = "langid", docs_a_language: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS) -> dict | None:
+    """Fit and calibrate on whole texts of at most ``docs_a_language`` labelled documents of each language and about ``rows`` in all, chosen by hash; None without any.
+
+    Rows are told apart by id and text, so ids that repeat or are missing fill no sample; equal rows count as one.
+    """
+    labelled = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000_000)).alias("h"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1e9 * 1.3 * docs_a_language / n)])
-    h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000_000))
-    some = labelled.select("lang", F.col("text"), h.alias("h")).where(F.col("h") < share[F.col("lang")])
-    rows = sorted(some.select("lang", F.substring("text", 1, chars).alias("text"), "h").collect(), key=lambda r: (r.lang, r.h, r.text))
+    most = max(2, min(docs_a_language, rows // len(sizes)))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1e9 * 1.3 * most / n)])
+    some = labelled.where(F.col("h") < share[F.col("lang")]).dropDuplicates().limit(2 * max(rows, 2 * len(sizes)))
     taken: dict[str, int] = {}
     fitted, checked = ([], []), ([], [])
-    for r in rows:
+    for r in sorted(some.collect(), key=lambda r: (r.lang, r.h, r.text)):
         n = taken[r.lang] = taken.get(r.lang, 0) + 1
-        if n <= docs_a_language:
+        if n <= most:
             to = checked if n % 5 == 0 else fitted
             to[0].append(r.text)
             to[1].append(r.lang)
@@ -177,12 +198,15 @@ def train(docs: DataFrame, learnable: Column, seed: str = "langid", docs_a_langu
     return calibrate(fit(*fitted), *checked)
 
 
-def predict(docs: DataFrame, model: dict | None, prefix: str = "") -> DataFrame:
-    """``docs`` with the columns ``lang_pred, score, entropy, rejected``, their names after ``prefix``; only ``text`` is looked at."""
+PREDICTED = ("lang_pred", "score", "entropy", "rejected")
+
+
+def predict(docs: DataFrame, model: dict | None, names: Sequence[str] = PREDICTED) -> DataFrame:
+    """``docs`` with the language, its score, its entropy and whether the text is rejected, under ``names``; only ``text`` is looked at."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [prefix + x for x in ("lang_pred", "score", "entropy", "rejected")]
     docs = docs.drop(*names)
-    at_text, kinds = docs.columns.index("text"), [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+    own = docs.columns
+    at_text, kinds = own.index("text"), [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)]])
 
     def run(batches):
@@ -208,9 +232,9 @@ def predict(docs: DataFrame, model: dict | None, prefix: str = "") -> DataFrame:
                     rejected[i] = bool(h[row, j] > m["most"][j] + 20 / len(seqs[i]))
                 at = end
             added = [pa.array(x, kind) for x, kind in zip((lang, score, entropy, rejected), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*own, *names])
 
-    return in_batches(docs, run, schema)
+    return in_batches(docs.toDF(*[f"c{i}" for i in range(len(own))]), run, schema)  # any name goes through
 
 
 def held_out() -> Column:
@@ -231,5 +255,6 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without its rejected rows, ``lang`` set to the prediction; columns and repeated rows stay as given."""
-    known = predict(docs, train(docs, ~held_out(), **options), "__").where("NOT __rejected")
-    return known.select(*[F.col("__lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    names = clear_of(docs, *PREDICTED)
+    known = predict(docs, train(docs, ~held_out(), **options), names).where(~F.col(names[3]))
+    return known.select(*[F.col(names[0]).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
