@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing.
 
-Rolling hashes of the k-grams of a text's characters (case folded, white space left out) are taken, and of
-every window of consecutive hashes the minimum is selected, the rightmost of equal ones. Any passage of
-``k + window - 1`` such characters that two texts share gives both the same selected hash. Positions, in
-code points of the original text, are kept. A text of fewer than ``k`` characters has one hash, of all of them.
+Hashes of the k-grams of a text's characters (case folded, white space left out) are taken, and of every window
+of consecutive hashes the minimum is selected, the rightmost of equal ones. The hashes are built from those of
+runs of 1, 2, 4, ... characters, for all places of a text at once, where a rolling hash would go from place to place;
+equal k-grams have equal hashes either way. Any passage of ``k + window - 1`` such characters that two texts share, 47 by
+default, gives both the same selected hash. Positions, in code points of the original text, are kept. A text of
+fewer than ``k`` characters has one hash, of all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from brindle.llm.common import by_value, in_batches, record_batch
 
 by_value(__name__)
 
-GRAM, WINDOW = 24, 64
+GRAM, WINDOW = 16, 32
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
