@@ -6,12 +6,13 @@ never stands in a document without the entity and 0 if the two are independent.
 threshold, with enough different contexts behind it, are spans too: generalised, or removed when they disclose
 nearly everything. Counts cover all documents; exact copies of a context support a word only once. An entity that
 few contexts mention is estimated by its pools: its group (mail domain, network, card issuer, phone area) and its
-kind. A pool's words must also be unlikely to stand there by chance.
+kind. Every word must also be unlikely to stand there by chance, however many words are tested.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -25,8 +26,8 @@ from brindle.llm.common import by_value, cut, in_batches, record_batch
 by_value(__name__)
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words to each side of an entity that are its context, and the contexts that must agree on a word.
-REACH, SUPPORT = 8, 3
+#: Words to each side of an entity that are its context, and the different contexts of it that must agree on a word.
+REACH, SUPPORT = 8, 2
 #: Disclosure from which a word is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.98
 #: Words up to which a list is broadcast (some 20 MB); beyond it the words are joined.
@@ -41,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W_]+")
 _LONG = re.compile(r"[^\W\d_]{3,}")
-#: Likelihood ratio (G squared) that a word of a pool must exceed: chance in one of a thousand.
+#: Likelihood ratio (G squared) that a word must exceed: chance in one of a thousand; twice the log of the number of tested pairs is added.
 LEAST_G2 = 10.83
 
 
@@ -172,7 +173,7 @@ def disclosing_words(docs: DataFrame, reach: int = REACH, support: int = SUPPORT
     joint = cut(pairs.where("word <> ''").groupBy("entity", "word", "context").agg(F.count("*").alias("m")).groupBy("entity", "word").agg(F.sum("m").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= support))
     entities = pairs.where("word = ''").groupBy("entity").agg(F.count("*").alias("of_entity"))
     terms = joint.select("word").distinct()
-    n = terms.count()
+    n, tested = terms.count(), joint.count()
     if not n:
         return joint.select("word", F.lit(0.0).alias("disclosure"))
     wanted = docs.sparkSession.sparkContext.broadcast({r.word for r in terms.collect()}) if n <= most_terms else None
@@ -181,7 +182,7 @@ def disclosing_words(docs: DataFrame, reach: int = REACH, support: int = SUPPORT
     told = joint.join(entities, "entity").join(_counts(docs, wanted), "word").withColumn("ic", F.log(F.lit(float(total)) / F.col("of_entity"))).where("ic > 0").withColumn("disclosure", pmi / F.col("ic"))
     apart, share = F.col("n") - F.col("both"), F.col("of_entity") / F.lit(float(total))
     g2 = 2 * (F.col("both") * pmi + F.when(apart > 0, apart * F.log(apart / (F.col("n") * (1 - share)))).otherwise(0.0))
-    told = told.where(~F.col("entity").startswith("pool:") | (g2 > LEAST_G2))
+    told = told.where(g2 > LEAST_G2 + 2 * math.log(tested))
     return told.groupBy("word").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= least)
 
 
