@@ -20,6 +20,7 @@ from brindle.operators import outline
 
 TARGET, LEAST, MOST, OVERLAP = 600, 400, 800, 0.2
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+# Fixed value: what a line with nothing but a page number looks like.
 PAGE_NUMBER_SQL = r"(?i)^(P[ÁA]GINA\s+[0-9]+\s+DE\s+[0-9]+|[0-9]+)$"
 
 
@@ -133,7 +134,7 @@ def segments(text: str, opens=outline.is_boundary) -> list[list[str]]:
 
 def normative(text: str, w: Window) -> Iterator[Block]:
     """A preamble up to the first article, then a chunk for each article, tables apart; long articles are packed with overlap."""
-    carry, held, path, met = outline.Carry(), [], [], False
+    trail, held, path, met = outline.Trail(), [], [], False
     pending: list[str] = []  # headings above an article wait for it
 
     def flush():
@@ -145,18 +146,18 @@ def normative(text: str, w: Window) -> Iterator[Block]:
         held = []
 
     for seg in segments(text):
-        labels = [x for x in (outline.label_of(line) for line in seg[:4] if outline.is_boundary(line)) if x][:2]
-        found = outline.numbered_heading(seg[0])
+        opened = [x for x in map(outline.heading, seg[:4]) if x][:2]
+        found = outline.level_heading(seg[0])
         if outline.looks_like_table(seg):
             yield from flush()
-            yield from table(seg, carry.path(labels) if labels else path, w)
+            yield from table(seg, trail.path(opened) if opened else path, w)
             continue
-        if found and found[0] == "article":
+        if found and found.kind == "article":
             yield from flush()
-            met, path = True, carry.path([found[1]])
+            met, path = True, trail.path([found])
             held, pending = [*pending, *seg], []
         elif found:
-            here = carry.path(labels or [found[1]])
+            here = trail.path(opened or [found])
             if met:
                 yield from flush()
                 pending += seg
@@ -167,7 +168,7 @@ def normative(text: str, w: Window) -> Iterator[Block]:
             pending += seg
         else:
             held += seg
-            path = path or carry.path(labels)
+            path = path or trail.path(opened)
     held += pending
     yield from flush()
 
@@ -210,30 +211,31 @@ def structural(text: str, w: Window) -> Iterator[Block]:
 
 def technical(text: str, w: Window) -> Iterator[Block]:
     """Runs of equal section; what comes before the first numbered section is one editorial run; a lone heading joins what follows."""
-    runs: list[Block] = []
-    path: list[str] = ["Preliminares"]
+    runs: list[tuple[list[str], str, list[str]]] = []  # path, kind, lines
+    front = ["Preliminares"]
+    path = front
     opens = lambda x: x.startswith("#") or bool(outline.TECHNICAL_SECTION.match(x) or outline.generic_heading(x)) or outline.is_boundary(x)
     for seg in segments(text, opens):
         head = outline.bare(seg[0])
         if outline.TECHNICAL_SECTION.match(head):
-            path = [head[:72]]
-        elif path != ["Preliminares"] and (seg[0].startswith("#") or outline.generic_heading(head)):
-            path = [path[0], head[:72]]
-        kind = "table" if outline.looks_like_table(seg) else "editorial" if path == ["Preliminares"] else "section"
-        if runs and runs[-1].path == path and runs[-1].kind == kind != "table":
-            runs[-1].text += "\n" + "\n".join(seg)
+            path = [head[: outline.LONGEST]]
+        elif path is not front and (seg[0].startswith("#") or outline.generic_heading(head)):
+            path = [path[0], head[: outline.LONGEST]]
+        kind = "table" if outline.looks_like_table(seg) else "editorial" if path is front else "section"
+        if runs and runs[-1][:2] == (path, kind) and kind != "table":
+            runs[-1][2].extend(seg)
         else:
-            runs.append(Block("\n".join(seg), path, kind))
-    lone = ""
-    for i, b in enumerate(runs):
-        if b.kind == "section" and "\n" not in b.text and estimate(b.text) <= 24 and i + 1 < len(runs) and runs[i + 1].path[:1] == b.path[:1]:
-            lone += b.text + "\n"
+            runs.append((path, kind, list(seg)))
+    lone: list[str] = []
+    for i, (path, kind, lines) in enumerate(runs):
+        if kind == "section" and len(lines) == 1 and estimate(lines[0]) <= 24 and i + 1 < len(runs) and runs[i + 1][0][:1] == path[:1]:
+            lone += lines
             continue
-        body, lone = lone + b.text, ""
-        if b.kind == "table":
-            yield from table(body.split("\n"), b.path, w)
+        lines, lone = lone + lines, []
+        if kind == "table":
+            yield from table(lines, path, w)
         else:
-            yield from (Block("\n".join(p), b.path, b.kind) for p in pack(body.split("\n"), w.most, w.overlap))
+            yield from (Block("\n".join(p), path, kind) for p in pack(lines, w.most, w.overlap))
 
 
 def freeform(text: str, w: Window) -> Iterator[Block]:

@@ -33,10 +33,15 @@ def test_normative_chunks_carry_their_path():
 
 
 def test_headings():
-    assert outline.numbered_heading("## ARTÍCULO 12 bis. Texto") == ("article", "Arto. 12")
-    assert outline.numbered_heading("articulo 4 de la ley") is None
+    assert outline.level_heading("## ARTÍCULO 12 bis. Texto") == ("article", "Arto. 12")
+    assert outline.level_heading("articulo 4 de la ley") is None and outline.heading("articulo 4 de la ley") is None
+    assert outline.heading("CAPÍTULO ÚNICO") == ("chapter", "CAPITULO UNICO") and outline.heading("3) Aprobar el acta") == ("item", "Item 3")
+    assert outline.heading("DISPOSICIONES GENERALES") == ("document", "DISPOSICIONES GENERALES") and outline.heading("Texto corriente.") is None
     assert outline.kind_of("TITULO II") == "title" and outline.kind_of("XIV") == "roman" and outline.kind_of("Sección 3") == "section"
-    assert outline.looks_like_table(["Rango  Monto", "DE 1 A 2  5", "DE 2 A 3  6"])
+    assert outline.looks_like_table(["Rango  Monto", "DE 1 A 2  5", "DE 2 A 3  6"]) and not outline.looks_like_table(["una frase", "otra frase", "y otra 3"])
+    trail = outline.Trail()
+    assert trail.path([outline.heading("TITULO I"), outline.heading("CAPITULO II")]) == ["TITULO I", "CAPITULO II"]
+    assert trail.path([outline.heading("Arto. 5")]) == ["TITULO I", "CAPITULO II", "Arto. 5"] and trail.path([outline.heading("TITULO II")]) == ["TITULO II"]
 
 
 @given(st.lists(st.text("ab .\n", max_size=80), max_size=12), st.integers(5, 40))
