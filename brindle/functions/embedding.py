@@ -1,29 +1,64 @@
-"""Deterministic hash embeddings, as rows of non-zero components or as dense arrays."""
+"""Deterministic hash embeddings, as rows of non-zero components or as dense arrays. A text is folded inside its own row: nothing is shuffled."""
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import TOKEN
 
-WIDTH = 256
+WIDTH, LEAST = 256, 1e-6
+
+
+@lru_cache(1 << 18)
+def _digest(token: str) -> tuple[int, float]:
+    """A token's place before the width is applied, and its signed weight."""
+    h = hashlib.sha256(token.encode()).digest()
+    return int.from_bytes(h[:4], "big"), (1.0 if h[4] % 2 == 0 else -1.0) * (1.0 + h[5] / 255.0)
+
+
+def embed(tokens: list[str] | None, width: int = WIDTH) -> np.ndarray:
+    """The unit-length signed sum over token digests; without tokens 1e-6 at 0."""
+    out = np.zeros(width)
+    if not tokens:
+        out[0] = LEAST
+        return out
+    place, weight = zip(*map(_digest, tokens), strict=True)
+    out = np.bincount(np.array(place) % width, weight, width)
+    norm = np.sqrt((out * out).sum())
+    return out / norm if norm > 1e-5 else out
+
+
+def _rows(rows: DataFrame, key: str, text: str, fold, schema: str) -> DataFrame:
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN))
+    return rows.select(key, tokens.alias("tokens")).mapInArrow(fold, schema)
 
 
 def components(rows: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """``(key, idx, value)``: unit-length signed sums over token digests; a text without tokens has 1e-6 at 0."""
-    tokens = rows.select(key, F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN))).alias("t"))
-    counted = tokens.groupBy(key, "t").agg(F.count("*").alias("n"))  # each distinct token is digested once
-    digest = counted.withColumn("h", F.sha2("t", 256))
-    part = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("long")
-    weight = F.when(part(9, 2) % 2 == 0, 1.0).otherwise(-1.0) * (1.0 + part(11, 2) / F.lit(255.0))
-    each = digest.select(key, F.coalesce(part(1, 8) % width, F.lit(0)).cast("int").alias("idx"), F.coalesce(F.col("n") * weight, F.lit(1e-6)).alias("w"))
-    summed = each.groupBy(key, "idx").agg(F.sum("w").alias("w"))
-    norms = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return summed.join(norms, key).select(key, "idx", F.when(F.col("norm") > 1e-5, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("value"))
-
-
-def dense(parts: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
-    """``(key, vector)`` from :func:`components`."""
-    held = parts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))  # at most ``width`` entries
-    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+    """``(key, idx, value)``: the components that some token falls on."""
+
+    def fold(batches):
+        for b in batches:
+            tokens = b.column(1).to_pylist()
+            vectors = [embed(t, width) for t in tokens]
+            hit = [np.unique(np.array([_digest(x)[0] % width for x in t])) if t else np.zeros(1, int) for t in tokens]
+            at = np.repeat(np.arange(len(hit)), [len(h) for h in hit])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(hit).astype(np.int32) if hit else np.zeros(0, np.int32)), pa.array(np.concatenate([v[h] for v, h in zip(vectors, hit, strict=True)]) if hit else np.zeros(0))], names=[key, "idx", "value"])
+
+    return _rows(rows, key, text, fold, f"{key} {rows.schema[key].dataType.simpleString()}, idx int, value double")
+
+
+def vectors(rows: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """``(key, vector)``: dense embeddings."""
+
+    def fold(batches):
+        for b in batches:
+            flat = np.concatenate([embed(t, width) for t in b.column(1).to_pylist()] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, np.int32), flat)], names=[key, "vector"])
+
+    return _rows(rows, key, text, fold, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")

@@ -18,70 +18,87 @@ def top(rows: DataFrame, by: str, score: str, tie: str, k: int, name: str = "ran
     return rows.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = 1024) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = np.asarray(column.flatten(), np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, length, where=length > 0, out=np.zeros_like(v))
+
+
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, digits: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The ``k`` best of some vectors for each of some questions of unit length; equal scores by id."""
+    s = np.round(q @ _unit(v).T, digits)
+    s[ids[:, None] == own[None, :]] = -np.inf
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    a, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    order = np.lexsort((own[c], -s[a, c], a))
+    a, c = a[order], c[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(own[c[keep]]), pa.array(s[a, c][keep])], schema=schema)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = 1024, rows: int = 16_384) -> DataFrame:
     """``(query_id, vec_id, score, rank)`` by cosine, rounded; a vector of zero length scores 0; a query never finds its own id.
 
-    Queries go out in blocks of bounded size; a block is one matrix product in each batch of vectors, and a
-    partition returns its own ``k`` best for each query.
+    Up to ``block`` queries are broadcast, and a partition returns its own ``k`` best for each. Beyond that, blocks of queries and
+    of ``rows`` vectors meet as a grid, each cell one matrix product.
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
+    kind = "query_id long, vec_id long, score double"
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    dealt = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("b"))
-    found = None
-    for i in range(blocks):
-        rows = dealt.where(F.col("b") == i).collect()
-        if not rows:
-            continue
-        ids, q = np.array([r.query_id for r in rows]), np.array([r.q for r in rows], np.float64)
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        held = spark.sparkContext.broadcast((ids, np.divide(q, length, where=length > 0, out=np.zeros_like(q))))
-
-        def search(batches, held=held):
-            ids, q = held.value
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("q"))
+    held = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+    n = queries.count()
+    if n <= block:
+        few = asked.toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((few.column("query_id").to_numpy(), _unit(_matrix(few.column("q").combine_chunks())) if n else None))
+
+        def search(batches):
+            ids, q = shared.value
             for b in batches:
-                v = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, q.shape[1]))
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                if not len(v):
-                    continue
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.round(q @ np.divide(v, size, where=size > 0, out=np.zeros_like(v)).T, digits)
-                s[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                a, c = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-                keep = np.isfinite(s[a, c])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(own[c[keep]]), pa.array(s[a, c][keep])], schema=schema)
-
-        part = vectors.select(F.col(vector_id).cast("long"), F.col(vector)).mapInArrow(search, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+                if b.num_rows and len(ids):
+                    yield _best(ids, q, b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1)), k, digits, schema)
+
+        found = held.mapInArrow(search, kind)
+    else:
+        across, down = -(-n // block), max(1, -(-vectors.count() // rows))
+
+        def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return schema.empty_table()
+            q = _unit(_matrix(left.column("q").combine_chunks()))
+            best = _best(left.column("query_id").to_numpy(), q, right.column("vec_id").to_numpy(), _matrix(right.column("v").combine_chunks()), k, digits, schema)
+            return pa.Table.from_batches([best])
+
+        left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"))
+        right = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("a"), F.pmod(F.xxhash64("vec_id"), F.lit(down)).cast("int").alias("d"))
+        found = left.groupBy("a", "d").cogroup(right.groupBy("a", "d")).applyInArrow(cell, kind)
     return top(found, "query_id", "score", "vec_id", k)
 
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``(key, field, term, tf, len)``: the inverted index of some text fields."""
-    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields])).alias("s"))
-    flat = each.select(key, "s.field", F.size("s.t").alias("len"), F.explode("s.t").alias("term"))
-    return flat.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+#: Distinct question terms up to which they are broadcast (some 40 MB); beyond it they are joined.
+MOST_TERMS = 1_000_000
 
 
-def bm25(index: DataFrame, docs: int, queries: DataFrame, key: str, query_id: str, query: str, boosts: dict[str, float] | None = None, digits: int = 6) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, fields: list[str], query_id: str, query: str, boosts: dict[str, float] | None = None, digits: int = 6) -> DataFrame:
     """``(query_id, key, score)``: for each field the BM25 sum over the query's distinct terms, times its boost; the best field counts.
 
-    ``index`` is :func:`postings`' table, ``docs`` the number of documents. Terms meet postings in one equi-join, so only
-    documents that share a term with a query are scored.
+    Only postings of terms that some query has are kept, before anything is counted or shuffled, so that only
+    documents that share a term with a query are scored; field lengths come from the texts' token arrays.
     """
-    terms = queries.select(query_id, F.explode(F.array_distinct(tokens(query))).alias("term"))
-    # Document frequencies are needed only for terms that some query has.
-    wanted = index.join(terms.select("term").distinct(), "term")
-    df = wanted.groupBy("field", "term").agg(F.count("*").alias("df"))
-    sizes = index.groupBy("field", key).agg(F.first("len").alias("len")).groupBy("field").agg((F.sum("len") / F.lit(docs)).alias("avg"))
-    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    hits = wanted.join(df, ["field", "term"]).join(F.broadcast(sizes), "field").select(key, "field", "term", part.alias("part"))  # one row a field
-    sums = terms.join(hits, "term").groupBy(query_id, key, "field").agg(F.sum("part").alias("s"))
+    terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.coalesce(query, F.lit(""))))).alias("term"))
+    wanted = terms.select("term").distinct()
+    small = (lambda df: F.broadcast(df)) if terms.count() <= MOST_TERMS else (lambda df: df)
+    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("t")) for f in fields])).alias("s")).select(key, "s.field", F.size("s.t").alias("len"), "s.t")
+    n = docs.count()
+    sizes = each.groupBy("field").agg((F.sum("len") / F.lit(n)).alias("avg"))  # a row for each field
+    postings = each.select(key, "field", "len", F.explode("t").alias("term")).join(small(wanted), "term").groupBy(key, "field", "len", "term").agg(F.count("*").alias("tf"))
+    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weighed = terms.join(df, "term").join(F.broadcast(sizes), "field").select(query_id, "field", "term", "avg", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    sums = postings.join(small(weighed), ["field", "term"]).groupBy(query_id, key, "field").agg(F.sum(part).alias("s"))
     boost = F.coalesce(F.create_map(*[F.lit(x) for p in (boosts or {"": 1.0}).items() for x in p])[F.col("field")], F.lit(1.0))
     return sums.groupBy(query_id, key).agg(F.round(F.max(F.col("s") * boost), digits).alias("score"))
 

@@ -164,7 +164,7 @@ def role_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' languages by hash embeddings, fitted on the rows whose id's checksum is not divisible by five."""
     docs = table(spark, sf_dir, "documents")
-    vectors = embedding.dense(embedding.components(docs, "doc_id", "text"), "doc_id").join(docs.select("doc_id", F.col("lang").alias("label")), "doc_id")
+    vectors = embedding.vectors(docs, "doc_id", "text").join(docs.select("doc_id", F.col("lang").alias("label")), "doc_id")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     fitted = models.TextClassifier().fit(vectors.where(~held))
     return fitted.predict(vectors).select("doc_id", held.alias("held_out"), "predicted", F.round("probability", 3).alias("probability"))

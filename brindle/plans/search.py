@@ -23,15 +23,13 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    index = retrieval.postings(docs, "doc_id", ["text"])
-    scored = retrieval.bm25(index, docs.count(), questions.withColumnRenamed("text", "query"), "doc_id", "item_id", "query")
-    return retrieval.top(scored, "item_id", "score", "doc_id", SPARSE_K)
+    docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "query")
+    return retrieval.top(retrieval.bm25(docs, questions, "doc_id", ["text"], "item_id", "query"), "item_id", "score", "doc_id", SPARSE_K)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = embedding.dense(embedding.components(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-    questions = embedding.dense(embedding.components(table(spark, sf_dir, "benchmark"), "item_id", "text"), "item_id")
+    vectors = embedding.vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
+    questions = embedding.vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
     # Questions and documents have ids of their own: a question's id is shifted so that it never hides a document.
     shifted = questions.select((-F.col("item_id") - 1).alias("item_id"), "vector")
     found = retrieval.dense_topk(shifted, vectors, DENSE_K, query_id="item_id", vector_id="doc_id", vector="vector")
@@ -72,13 +70,17 @@ def variant_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a question's first 60 characters; candidates come from the question's rarest token."""
-    docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
-    index = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([\p{L}\p{N}_]+)")))).alias("term"))
-    whole = questions.select("item_id", "head", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("head", r"(?s)^(.*)[^\p{L}\p{N}_]", 1), F.lit(r"([\p{L}\p{N}_]+)")))).alias("term"))
+    """Documents that contain a question's whole text; candidates come from the rarest token inside it, which stands in them as a whole word."""
+    docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("text <> ''")
+    words = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([\p{L}\p{N}_]+)"))
+    inner = questions.select("item_id", F.col("text").alias("question"), words(F.col("text")).alias("w")).withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    index = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    whole = inner.select("item_id", "question", F.explode(F.array_distinct("w")).alias("term"))
     df = index.join(whole.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
-    rare = whole.join(df, "term").groupBy("item_id", "head").agg(F.min(F.struct("df", "term")).alias("m")).select("item_id", "head", F.col("m.term").alias("term"))
-    return index.join(rare, "term").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
+    rare = whole.join(df, "term").groupBy("item_id", "question").agg(F.min(F.struct("df", "term")).alias("m")).select("item_id", "question", F.col("m.term").alias("term"))
+    found = index.join(rare, "term").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("question"))).select("item_id", "doc_id")
+    short = inner.where(F.size("w") == 0).select("item_id", "question")  # too short for an inner word: looked for in every text
+    return found.unionByName(docs.join(short, F.contains("text", F.col("question"))).select("item_id", "doc_id")) if not short.isEmpty() else found
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +150,7 @@ _NEAR = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round(coalesce(list_cosine_similarity(q.e, v.e), 0), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 12)"""
 _CASES = f"""{sql.fused('fused')},
-relevant AS (SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, left(b.text, 60))),
+relevant AS (SELECT item_id, doc_id FROM benchmark b, documents d WHERE b.text <> '' AND contains(d.text, b.text)),
 marked AS (SELECT f.item_id, f.doc_id, f.rank, r.doc_id IS NOT NULL AS good FROM fused f LEFT JOIN relevant r ON f.item_id = r.item_id AND f.doc_id = r.doc_id),
 per AS (SELECT item_id, min(rank) FILTER (WHERE good) AS first, count(*) FILTER (WHERE rank <= 3) AS top, count(*) FILTER (WHERE good AND rank <= 3) AS g3, count(*) FILTER (WHERE good AND rank <= 1) AS g1, count(*) FILTER (WHERE good AND rank <= 5) AS g5 FROM marked GROUP BY item_id),
 sizes AS (SELECT item_id, count(*) AS n FROM relevant GROUP BY item_id),
