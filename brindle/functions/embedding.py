@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import TOKEN
+from brindle.shipping import by_value
+
+by_value(__name__)
 
 WIDTH, LEAST = 256, 1e-6
+#: Digests that a worker has made, and how many it keeps.
+_known: dict[str, tuple[int, float]] = {}
+MOST_KNOWN = 200_000
 
 
-@lru_cache(1 << 18)
 def _digest(token: str) -> tuple[int, float]:
     """A token's place before the width is applied, and its signed weight."""
-    h = hashlib.sha256(token.encode()).digest()
-    return int.from_bytes(h[:4], "big"), (1.0 if h[4] % 2 == 0 else -1.0) * (1.0 + h[5] / 255.0)
+    found = _known.get(token)
+    if found is None:
+        if len(_known) >= MOST_KNOWN:
+            _known.clear()
+        h = hashlib.sha256(token.encode()).digest()
+        found = _known[token] = int.from_bytes(h[:4], "big"), (1.0 if h[4] % 2 == 0 else -1.0) * (1.0 + h[5] / 255.0)
+    return found
 
 
 def embed(tokens: list[str] | None, width: int = WIDTH) -> np.ndarray:

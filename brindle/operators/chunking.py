@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import lines as line_array
 from brindle.operators import outline
+from brindle.shipping import by_value
+
+by_value(__name__)
 
 TARGET, LEAST, MOST, OVERLAP = 600, 400, 800, 0.2
 _TOKEN = re.compile(r"\w+|[^\w\s]")

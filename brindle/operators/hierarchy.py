@@ -43,6 +43,13 @@ def prune_ancestors(selected: DataFrame, path: str) -> DataFrame:
     return selected.join(proper, selected[path] == F.col("a"), "left_anti")
 
 
+def expand_children(selected: DataFrame, paths: DataFrame, path: str) -> DataFrame:
+    """The distinct branches right below the selected ones: each path's prefixes are looked up, not compared pairwise."""
+    below = paths.select(F.explode(prefixes(F.col(path))).alias("__child")).where(F.size("__child") > 1).distinct()
+    parent = below.withColumn("__parent", F.slice("__child", 1, F.size("__child") - 1))
+    return parent.join(selected.select(F.col(path).alias("__parent")).distinct(), "__parent", "left_semi").select(F.col("__child").alias(path))
+
+
 def diversify(hits: DataFrame, query_id: str, branch: str, rank: str, window: int) -> DataFrame:
     """Up to ``window`` best hits of different branches first, then the others, each in order; adds ``position``."""
     own = Window.partitionBy(query_id, branch).orderBy(rank)

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import content_tokens, fold, overlap, soft_overlap
+from brindle.shipping import by_value
+
+by_value(__name__)
 
 # The weights of the heuristic score and the reference boosts.
 WEIGHTS = {"lexical": 0.8, "path": 0.3, "exact": 0.2, "role": 0.55}

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokens
+from brindle.shipping import by_value
+
+by_value(__name__)
 
 K1, B, RRF_K = 1.2, 0.75, 60
 

@@ -1,6 +1,6 @@
 """Registered queries of the retrieval engine."""
 
-from brindle.plans import corpus, search
+from brindle.plans import corpus, ranking, search
 
-QUERIES: dict = {**search.QUERIES, **corpus.QUERIES}
-ORACLE_SQL: dict = {**search.ORACLE_SQL, **corpus.ORACLE_SQL}
+QUERIES: dict = {**search.QUERIES, **corpus.QUERIES, **ranking.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL, **corpus.ORACLE_SQL, **ranking.ORACLE_SQL}

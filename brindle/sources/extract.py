@@ -12,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.shipping import by_value
+
+by_value(__name__)
+
 BLOCKS = "version_id string, block_order int, block_type string, page int, section_path array<string>, text string, review_reason string"
 LEAST_CHARS = 50
 TEXT_SUFFIXES, HTML_SUFFIXES = ("txt", "md", "json"), ("html", "htm")
