@@ -48,14 +48,18 @@ def chunk(store: Store, force: bool = False, window: chunking.Window | None = No
     return store.replace("chunks", pending, "version_id")
 
 
+def index_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``title`` and ``path`` as rows of the index, vectors included."""
+    docs = enrich.index_documents(chunks, "title", "path", "chunk").withColumns({"variants_text": F.array_join("reference_variants", " "), "branch_keys": F.transform(hierarchy.prefixes(F.col("path")), hierarchy.branch_id)})
+    return docs.join(embedding.vectors(docs, "chunk_id", "embedding_text"), "chunk_id")
+
+
 def reindex(store: Store, profile: str = PROFILE, limit: int = 100, force: bool = False, document_class: str | None = None) -> DataFrame:
     """Indexes the versions that are not indexed for ``profile``, the newest first; writes ``index`` and the chunks' status, and returns ``(version_id, chunks, status)``."""
     chunks, versions = store.read("chunks"), store.read("versions")
     targets = catalog.reindex_targets(chunks, versions, profile, document_class, limit, force).select("version_id", "document_id", "document_class", "document_family", "version_status", F.col("name").alias("title"))
     rows = chunks.drop("index_status", "indexed_profile").join(targets, "version_id")
-    docs = enrich.index_documents(rows, "title", "path", "chunk").withColumns({"variants_text": F.array_join("reference_variants", " "), "branch_keys": F.transform(hierarchy.prefixes(F.col("path")), hierarchy.branch_id)})
-    vectors = embedding.vectors(docs, "chunk_id", "embedding_text")
-    index = store.replace("index", docs.join(vectors, "chunk_id"), "version_id")
+    index = store.replace("index", index_rows(rows), "version_id")
     done = index.select("chunk_id").withColumn("__done", F.lit(True))
     hit = F.col("__done").isNotNull() & F.col("version_id").isNotNull()
     mine = chunks.join(targets.select("version_id"), "version_id", "left_semi").join(done, "chunk_id", "left")
@@ -71,9 +75,9 @@ def delete(store: Store, gone: DataFrame) -> None:
     store.write("documents", catalog.latest_versions(store.read("versions")))
 
 
-def find(store: Store, questions: DataFrame, k: int = 12, final: int = 8) -> DataFrame:
-    """``questions(query_id, question)`` to ranked chunks: dense and sparse lists of every rewrite, merged and fused, scored by overlap and references, spread over branches."""
-    index = rank.payload_filter(store.read("index")).withColumn("__n", F.xxhash64("chunk_id"))
+def find(index: DataFrame, questions: DataFrame, k: int = 12, final: int = 8) -> DataFrame:
+    """``questions(query_id, question)`` to ranked chunks of the table ``index``: dense and sparse lists of every rewrite, merged and fused, scored by overlap and references, spread over branches."""
+    index = rank.payload_filter(index).withColumn("__n", F.xxhash64("chunk_id"))
     asked = understand.structure(questions, "question")
     rewrites = understand.variants(asked, "query_id", "question").withColumn("__q", F.xxhash64("query_id", "variant"))
     near = retrieval.dense_topk(embedding.vectors(rewrites, "__q", "query"), index, k, query_id="__q", vector_id="__n", vector="vector")
@@ -90,9 +94,9 @@ def find(store: Store, questions: DataFrame, k: int = 12, final: int = 8) -> Dat
     return spread.where(F.col("position") <= final).withColumnRenamed("position", "final_rank")
 
 
-def answer_questions(store: Store, questions: DataFrame, style: str = "single_branch") -> DataFrame:
+def answer_questions(index: DataFrame, questions: DataFrame, style: str = "single_branch") -> DataFrame:
     """``(query_id, answer, confidence, source_conflict, fallback_reason, citations)`` for each question; one without hits says so."""
-    hits = find(store, questions)
+    hits = find(index, questions)
     cited = hits.withColumns({"evidence": answer.best_fragment(F.col("question"), F.col("chunk"), F.col("canonical_label")), "style": F.lit(style)})
     said = answer.answers(cited, "query_id", "final_rank", "evidence", "path_text", "style")
     sure = rank.outcome(hits, "query_id", "document_id", "final_rank", "rrf")

@@ -9,3 +9,6 @@ from pyspark import cloudpickle
 
 def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+by_value(__name__)

@@ -37,9 +37,9 @@ def test_from_files_to_answers(spark, tmp_path):
     assert commands.reindex(store).collect() == [] and len(commands.reindex(store, force=True).collect()) == 3
 
     asked = spark.createDataFrame([(1, "¿Quiénes son los sujetos residentes según el artículo 3?"), (2, "presupuesto anual de la cooperativa"), (3, "zzz qqq")], "query_id long, question string")
-    first = {r.query_id: r for r in commands.find(store, asked).where("final_rank = 1").collect()}
+    first = {r.query_id: r for r in commands.find(store.read("index"), asked).where("final_rank = 1").collect()}
     assert first[1].canonical_label == "Arto. 3" and "presupuesto" in first[2].chunk
-    said = {r.query_id: r for r in commands.answer_questions(store, asked).collect()}
+    said = {r.query_id: r for r in commands.answer_questions(store.read("index"), asked).collect()}
     assert "residentes" in said[1].answer and said[1].citations[0].startswith("[1] ley.txt: ") and 0.35 < said[1].confidence <= 0.95
     assert set(said) == {1, 2, 3}
 
