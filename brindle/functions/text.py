@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+def _bases() -> dict[str, str]:
+    """Lower-case Latin letters with marks, and the letter below the marks."""
+    letters = (chr(i) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))
+    bases = {c: unicodedata.normalize("NFD", c)[0] for c in letters if c == c.lower()}
+    return {c: b for c, b in bases.items() if b != c and b.isascii()}
+
+
+_ACCENTED, _PLAIN = ("".join(x) for x in zip(*_bases().items(), strict=True))
+#: Marks that stand alone after their letter.
+MARKS = r"\p{Mn}+"
 TOKEN = r"([\p{L}\p{N}_]+)"
 #: Words that carry no topic, in the languages of the corpora.
 STOPWORDS = tuple("a al and as at be by con cual cuales de del des die das der du el ella en es est et for from fur ist la las le les los mit of on or para pas por que qui se sin sobre su sur the to un una und une von was with y zu".split())
@@ -15,8 +26,8 @@ LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
 def fold(c: Column | str) -> Column:
-    """Lower case without the accents of Spanish, French, German and Portuguese letters."""
-    return F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    """Lower case, Latin letters without their marks."""
+    return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), MARKS, "")
 
 
 def tokens(c: Column | str) -> Column:

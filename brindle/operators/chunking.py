@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.repair import repair
 from brindle.functions.text import lines as line_array
 from brindle.operators import outline
 from brindle.shipping import by_value
@@ -26,6 +27,9 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 # Fixed value: what a line with nothing but a page number looks like.
 PAGE_NUMBER_SQL = r"(?i)^(P[ÁA]GINA\s+[0-9]+\s+DE\s+[0-9]+|[0-9]+)$"
 
+# What opens an item of an outline, in order of preference.
+ITEMS = tuple(re.compile(p) for p in (r"\d+\)", r"[A-Za-zÁÉÍÓÚÑáéíóúñ]\)", r"(?i:[ivxlcdm]+)\)", r"[A-ZÁÉÍÓÚÑ][^:]{1,80}:\s*$"))
+
 
 @dataclass
 class Window:
@@ -135,6 +139,14 @@ def segments(text: str, opens=outline.is_boundary) -> list[list[str]]:
     return out
 
 
+def items(lines: list[str]) -> list[str]:
+    """Lines in groups, cut before each item of the first kind that opens two or more of them; as they are if none does."""
+    for kind in ITEMS:
+        if sum(bool(kind.match(x)) for x in lines) > 1:
+            return ["\n".join(x) for x in segments("\n".join(lines), kind.match)]
+    return lines
+
+
 def normative(text: str, w: Window) -> Iterator[Block]:
     """A preamble up to the first article, then a chunk for each article, tables apart; long articles are packed with overlap."""
     trail, held, path, met = outline.Trail(), [], [], False
@@ -144,7 +156,7 @@ def normative(text: str, w: Window) -> Iterator[Block]:
         nonlocal held
         if held:
             parts = [held] if estimate("\n".join(held)) <= w.most or not met else None
-            for part in parts or pack(held, w.most, w.overlap):
+            for part in parts or pack(items(held), w.most, w.overlap):
                 yield Block("\n".join(part), path, "article" if met else "preamble")
         held = []
 
@@ -280,7 +292,7 @@ def chunks_of(text: str | None, strategy: str | None, w: Window) -> list[Block]:
 def chunk_documents(docs: DataFrame, key: str, text: str, strategy: str, window: Window | None = None) -> DataFrame:
     """``(key, chunk_order, kind, path, chunk, tokens, chunk_id)`` of each row; ids follow from content, so chunking again changes nothing.
 
-    A null or blank text has no chunks.
+    A null or blank text has no chunks; legal texts are repaired first.
     """
     w = window or Window()
     schema = pa.schema([("chunk_order", pa.int32()), ("kind", pa.string()), ("path", pa.list_(pa.string())), ("chunk", pa.string()), ("tokens", pa.int32())])
@@ -297,5 +309,6 @@ def chunk_documents(docs: DataFrame, key: str, text: str, strategy: str, window:
             yield pa.RecordBatch.from_arrays([keys, *columns], names=[key, *schema.names])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(key, F.col(text).cast("string"), strategy).mapInArrow(run, f"{key} {kind}, chunk_order int, kind string, path array<string>, chunk string, tokens int")
+    body = F.col(text).cast("string")
+    out = docs.select(key, F.when(F.col(strategy) == "normative_hierarchical", repair(body)).otherwise(body).alias(text), strategy).mapInArrow(run, f"{key} {kind}, chunk_order int, kind string, path array<string>, chunk string, tokens int")
     return out.withColumn("chunk_id", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("chunk_order").cast("string"), F.md5("chunk"))))

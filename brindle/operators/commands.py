@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import embedding
 from brindle.functions.text import compress
-from brindle.operators import answer, catalog, chunking, classify, enrich, hierarchy, rank, retrieval, understand
+from brindle.operators import answer, branches, catalog, chunking, classify, enrich, hierarchy, rank, retrieval, understand
 from brindle.sources import extract
 from brindle.sources.store import Store
 
@@ -75,28 +75,77 @@ def delete(store: Store, gone: DataFrame) -> None:
     store.write("documents", catalog.latest_versions(store.read("versions")))
 
 
-def find(index: DataFrame, questions: DataFrame, k: int = 12, final: int = 8) -> DataFrame:
-    """``questions(query_id, question)`` to ranked chunks of the table ``index``: dense and sparse lists of every rewrite, merged and fused, scored by overlap and references, spread over branches."""
-    index = rank.payload_filter(index).withColumn("__n", F.xxhash64("chunk_id"))
-    asked = understand.structure(questions, "question")
+def branch_rows(index: DataFrame) -> DataFrame:
+    """Every branch of the index as a row of the index's own form: its key is the branch's, its text that of the chunk nearest to it."""
+    each = index.select("chunk_id", F.size("path").alias("n"), F.explode(hierarchy.prefixes(F.col("path"))).alias("p"))
+    lead = each.groupBy(hierarchy.branch_id(F.col("p")).alias("branch_key")).agg(F.min(F.struct(F.col("n") - F.size("p"), "chunk_id"))["chunk_id"].alias("chunk_id"), F.min("p").alias("__path"), F.count("*").alias("members"), F.max(F.col("n") > F.size("p")).alias("has_children"))
+    payload = index.select("chunk_id", "title", "chunk", "version_id", "document_id", "document_class", "document_family", "version_status")
+    rows = lead.join(payload, "chunk_id").drop("chunk_id").withColumnsRenamed({"branch_key": "chunk_id", "__path": "path"})
+    parent = F.when(F.size("path") > 1, hierarchy.branch_id(F.slice("path", 1, F.size("path") - 1)))
+    return index_rows(rows.withColumn("parent_branch_key", parent))
+
+
+def reindex_branches(store: Store) -> DataFrame:
+    """Writes ``branches`` from the whole index and returns it."""
+    return store.write("branches", branch_rows(store.read("index")))
+
+
+def _lists(index: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse lists ``(query_id, variant, __n, score, rank)`` of every rewrite of the questions."""
     rewrites = understand.variants(asked, "query_id", "question").withColumn("__q", F.xxhash64("query_id", "variant"))
     near = retrieval.dense_topk(embedding.vectors(rewrites, "__q", "query"), index, k, query_id="__q", vector_id="__n", vector="vector")
     near = near.select(F.col("query_id").alias("__q"), F.col("vec_id").alias("__n"), "score", "rank")
     sparse = retrieval.top(retrieval.bm25(index, rewrites, "__n", list(FIELDS), "__q", "query", FIELDS), "__q", "score", "__n", k)
     by_variant = rewrites.select("__q", "query_id", "variant")
-    merged = lambda lists: retrieval.merge_lists(lists.join(by_variant, "__q"), "query_id", "__n").where(F.col("rank") <= k)
-    fused = retrieval.rrf(merged(near), merged(sparse), "query_id", "__n")
-    rows = fused.join(index, "__n").join(asked.select("query_id", "question", "refs"), "query_id")
-    rows = rows.withColumns({"retrieval_context": F.col("chunk_summary"), "raw_text": F.col("chunk")})
+    return near.join(by_variant, "__q"), sparse.join(by_variant, "__q")
+
+
+def _met(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits with their question and references, under the names that reference scores read."""
+    kept = [c for c in ("query_id", "question", "refs", "strategy") if c in asked.columns]
+    return rows.join(asked.select(*kept), "query_id").withColumns({"retrieval_context": F.col("chunk_summary"), "raw_text": F.col("chunk")})
+
+
+def find_branches(branches_table: DataFrame, asked: DataFrame, k: int = 12) -> DataFrame:
+    """Ranked branches for questions as :func:`understand.structure` gives them, as many as ``strategy`` allows; adds ``structural`` and ``specific``."""
+    table = branches_table.where("version_status = 'active'").withColumn("__n", F.xxhash64("chunk_id"))
+    found = branches.fuse(*_lists(table, asked, k), asked, "query_id", "__n")
+    rows = _met(found.join(table, "__n"), asked)
+    return rows.withColumns({"structural": rank.structural_score(F.col("refs")), "specific": branches.is_specific(F.col("unit_type"), F.col("unit_number"), F.col("canonical_label"), F.col("path"))})
+
+
+def _guided(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Hits raised by the branches that were found, and the selected branches' own rows beside them."""
+    guide = found.select("query_id", F.col("chunk_id").alias("branch_key"), "rank", "structural")
+    rows = hierarchy.boost_by_branches(rows, guide, "query_id", "branch_keys", "rrf")
+    selected = branches.select(found.withColumn("__p", F.lit(None).cast("double")), "query_id", "chunk_id", "rank", "rrf", "__p", "strategy")
+    added = branches.candidates(selected, "query_id", "chunk_id", "rank", "strategy", "specific")
+    return rows.unionByName(added.drop("rank", "structural", "specific", "branch_rank", "__p"), allowMissingColumns=True)
+
+
+
+def find(index: DataFrame, questions: DataFrame, k: int = 12, final: int = 8, branch_table: DataFrame | None = None) -> DataFrame:
+    """``questions(query_id, question)`` to ranked chunks of the table ``index``: dense and sparse lists of every rewrite, merged and fused, scored by overlap and references, spread over branches.
+
+    With the table of branches, these are searched too: chunks below the best ones rise, and some enter as hits of their
+    own. ``questions`` may hold a ``strategy``; without one it is focal.
+    """
+    index = rank.payload_filter(index).withColumn("__n", F.xxhash64("chunk_id"))
+    asked = understand.structure(questions, "question")
+    asked = asked if "strategy" in asked.columns else asked.withColumn("strategy", F.lit("focal"))
+    near, sparse = _lists(index, asked, k)
+    merged = lambda lists: retrieval.merge_lists(lists, "query_id", "__n").where(F.col("rank") <= k)
+    rows = _met(retrieval.rrf(merged(near), merged(sparse), "query_id", "__n").join(index, "__n"), asked)
+    rows = rows if branch_table is None else _guided(rows, find_branches(branch_table, asked, k))
     extra = F.when(rank.exact_reference(F.col("question"), F.col("chunk")), rank.WEIGHTS["exact"]).otherwise(0.0) + rank.structural_score(F.col("refs")) - rank.mismatch_penalty(F.col("refs"))
     scored = rank.rerank(rows, "query_id", "chunk_id", F.col("rrf"), F.col("contextualised_text"), F.col("path_text"), F.col("question"), extra)
     spread = hierarchy.diversify(scored.withColumn("branch", F.element_at("branch_keys", -1)), "query_id", "branch", "rerank_rank", 3)
     return spread.where(F.col("position") <= final).withColumnRenamed("position", "final_rank")
 
 
-def answer_questions(index: DataFrame, questions: DataFrame, style: str = "single_branch") -> DataFrame:
+def answer_questions(index: DataFrame, questions: DataFrame, style: str = "single_branch", branch_table: DataFrame | None = None) -> DataFrame:
     """``(query_id, answer, confidence, source_conflict, fallback_reason, citations)`` for each question; one without hits says so."""
-    hits = find(index, questions)
+    hits = find(index, questions, branch_table=branch_table)
     cited = hits.withColumns({"evidence": answer.best_fragment(F.col("question"), F.col("chunk"), F.col("canonical_label")), "style": F.lit(style)})
     said = answer.answers(cited, "query_id", "final_rank", "evidence", "path_text", "style")
     sure = rank.outcome(hits, "query_id", "document_id", "final_rank", "rrf")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import fold
+from brindle.functions.text import compress, fold
 
 
 def case_metrics(cases: DataFrame, hits: DataFrame, relevant: DataFrame, case_id: str = "case_id", key: str = "doc_id", ks: tuple[int, ...] = (1, 3, 5), precision_at: int = 3) -> DataFrame:
@@ -71,3 +71,22 @@ def verdict(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Adds ``passed``, true if all conditions hold, and ``failed``, the names of those that don't."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items()]))
     return rows.withColumn("failed", failed).withColumn("passed", F.size("failed") == 0)
+
+
+def filter_cases(cases: DataFrame, suites: list[str] | None = None, ids: list[str] | None = None, suite: str = "suite_id", case_id: str = "case_id") -> DataFrame:
+    """The cases of some suites, and of those the ones of some ids; None for all."""
+    for column, wanted in ((suite, suites), (case_id, ids)):
+        cases = cases.where(F.col(column).isin(*wanted)) if wanted else cases
+    return cases
+
+
+def previews(hits: DataFrame, query_id: str, rank: str, text: str, most: int = 5, limit: int = 220) -> DataFrame:
+    """The first hits of each case with their text shortened as ``preview``."""
+    return hits.where(F.col(rank) <= most).withColumn("preview", compress(F.coalesce(text, F.lit("")), limit)).select(query_id, rank, *[c for c in hits.columns if c not in (query_id, rank, text)], "preview")
+
+
+def traced(trace: Column, name: str) -> Column:
+    """What a trace of ``name=value`` entries tells of a name, by its first entry; null if nothing."""
+    entry = F.get(F.filter(trace, lambda x: x.startswith(f"{name}=")), F.lit(0))
+    value = F.trim(F.substring(entry, F.lit(len(name) + 2), F.length(entry)))
+    return F.when(value != "", value)

@@ -9,7 +9,7 @@ LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def fold(c: str) -> str:
-    return f"translate(lower({c}), '{_ACCENTED}', '{_PLAIN}')"
+    return rf"regexp_replace(translate(lower({c}), '{_ACCENTED}', '{_PLAIN}'), '\p{{Mn}}+', '', 'g')"
 
 
 def tokens(c: str) -> str:

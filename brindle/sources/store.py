@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.catalog import upsert
 
 
+def profiled(name: str, profile: str) -> str:
+    """A table's name for an embedding profile: the profile in lower case, with hyphens for all but letters and digits."""
+    return f"{name}__{re.sub('[^a-z0-9]+', '-', profile.strip().lower()).strip('-') or 'default'}"
+
+
 class Store:
     """Named tables. A write makes a new generation and then marks it, so a job that dies leaves the last marked one in force.
 
@@ -32,6 +39,11 @@ class Store:
         known = self.generations(name)
         return self.spark.read.parquet(f"{self.root}/{name}/{known[-1]}") if known else None
 
+    def read_profiled(self, name: str, profile: str) -> DataFrame | None:
+        """The table of an embedding profile, or the one without a profile where there is none."""
+        found = self.read(profiled(name, profile))
+        return self.read(name) if found is None else found
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """``df`` as the table's next generation."""
         known = self.generations(name)

@@ -43,6 +43,13 @@ def test_from_files_to_answers(spark, tmp_path):
     assert "residentes" in said[1].answer and said[1].citations[0].startswith("[1] ley.txt: ") and 0.35 < said[1].confidence <= 0.95
     assert set(said) == {1, 2, 3}
 
+    branches = commands.reindex_branches(store)
+    keys = {k for r in store.read("index").collect() for k in r.branch_keys}
+    assert {r.chunk_id for r in branches.collect()} == keys and all(r.parent_branch_key in keys for r in branches.collect() if len(r.path) > 1)
+    guided = commands.find(store.read("index"), asked, branch_table=branches)
+    rows = guided.where("query_id = 1").orderBy("final_rank").collect()
+    assert rows[0].canonical_label == "Arto. 3" and len({r.chunk_id for r in rows}) == len(rows) and keys & {r.chunk_id for r in rows}
+
     commands.delete(store, store.read("versions").where(F.col("name") == "ley.txt").select("version_id"))
     assert store.count("index", "title = 'ley.txt'") == 0 and store.count("documents") == 3 and store.count("chunks") == total - of_law
 
