@@ -95,7 +95,7 @@ def _lists(index: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, DataF
     rewrites = understand.variants(asked, "query_id", "question").withColumn("__q", F.xxhash64("query_id", "variant"))
     near = retrieval.dense_topk(embedding.vectors(rewrites, "__q", "query"), index, k, query_id="__q", vector_id="__n", vector="vector")
     near = near.select(F.col("query_id").alias("__q"), F.col("vec_id").alias("__n"), "score", "rank")
-    sparse = retrieval.top(retrieval.bm25(index, rewrites, "__n", list(FIELDS), "__q", "query", FIELDS), "__q", "score", "__n", k)
+    sparse = retrieval.bm25_top(index, rewrites, "__n", list(FIELDS), "__q", "query", k, FIELDS)
     by_variant = rewrites.select("__q", "query_id", "variant")
     return near.join(by_variant, "__q"), sparse.join(by_variant, "__q")
 

@@ -132,8 +132,7 @@ def bm25_fields_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fields with boosts, of which the better one counts."""
     docs = table(spark, sf_dir, "documents").withColumn("label", F.concat_ws(" ", "lang", "source", F.lit("the de")))
     questions = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "query")
-    scored = retrieval.bm25(docs, questions, "doc_id", ["text", "label"], "item_id", "query", {"text": 1.0, "label": 40.0})
-    return retrieval.top(scored, "item_id", "score", "doc_id", search.SPARSE_K)
+    return retrieval.bm25_top(docs, questions, "doc_id", ["text", "label"], "item_id", "query", search.SPARSE_K, {"text": 1.0, "label": 40.0})
 
 
 def child_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

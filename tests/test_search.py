@@ -25,3 +25,20 @@ def test_dense_topk_in_one_block_in_several_and_in_rounds(spark, points, block,
     found = {(r.query_id, r.vec_id): (r["rank"], r.score) for r in retrieval.dense_topk(df, df, 5, query_id="vec_id", block=block, most=most).collect()}
     wanted = nearest(v, 5)
     assert {p: r for p, (r, _) in found.items()} == {p: r for p, (r, _) in wanted.items()} and all(abs(found[p][1] - wanted[p][1]) < 1e-9 for p in wanted)
+
+
+@pytest.mark.parametrize("boosts", [None, {"a": 1.0, "b": 7.0}])
+def test_bm25_in_whole_documents_equals_bm25_by_joins(spark, boosts, monkeypatch):
+    words = "uno dos tres cuatro cinco seis siete ocho".split()
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(rng.choice(words, n))
+    docs = spark.createDataFrame([(i, text(rng.integers(0, 12)) if i % 9 else None, text(2)) for i in range(200)] + [(1_000 + i, "dos tres", "uno") for i in range(50)], "id long, a string, b string")
+    asked = spark.createDataFrame([("p", "uno dos"), ("q", "Tres tres NUEVE"), ("r", None), ("s", "nada"), ("t", " ".join(words))], "q string, said string")
+    found = retrieval.bm25_top(docs, asked, "id", ["a", "b"], "q", "said", 6, boosts)
+    wanted = retrieval.top(retrieval.bm25(docs, asked, "id", ["a", "b"], "q", "said", boosts), "q", "score", "id", 6)
+    got = sorted(map(tuple, found.select("q", "id", "score", "rank").collect()))
+    assert got and got == sorted(map(tuple, wanted.select("q", "id", "score", "rank").collect()))
+    monkeypatch.setattr(retrieval, "bm25", None)  # pairs are not scored by joins
+    monkeypatch.setattr(retrieval, "CELLS", 10)
+    assert sorted(map(tuple, retrieval.bm25_top(docs, asked, "id", ["a", "b"], "q", "said", 6, boosts).select("q", "id", "score", "rank").collect())) == got
+    assert retrieval.bm25_top(docs, asked.where("false"), "id", ["a"], "q", "said", 6).count() == retrieval.bm25_top(docs.where("false"), asked, "id", ["a"], "q", "said", 6).count() == 0
