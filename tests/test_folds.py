@@ -1,7 +1,9 @@
 """Folds over rows go by slices: what they give does not depend on how many rows a batch has."""
 
 import pyarrow as pa
+import pytest
 
+from brindle.functions import embedding
 from brindle.operators import enrich
 from brindle.sources import extract
 
@@ -34,3 +36,12 @@ def test_blocks_of_a_bounded_number_of_files(spark, monkeypatch):
     files = pa.RecordBatch.from_arrays([pa.array(map(str, range(n))), pa.array(["html"] * n), pa.array([b"<p>a</p><p>b</p>"] * n)], names=["version_id", "suffix", "content"])
     given = [b.num_rows for b in run([files])]
     assert max(given) == 2 * extract.ROWS and sum(given) == 2 * n
+
+
+@pytest.mark.parametrize("of, rows", [(embedding.components, 1.5), (embedding.vectors, 1)])
+def test_embeddings_of_a_bounded_number_of_texts(spark, monkeypatch, of, rows):
+    run = fold(monkeypatch, spark.createDataFrame([], "id long, text string"), lambda df: of(df, "id", "text"))
+    n = 3_000
+    tokens = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([["a", "b", "a"], []] * (n // 2))], names=["id", "tokens"])
+    given = [b.num_rows for b in run([tokens])]
+    assert max(given) == embedding.ROWS * rows and sum(given) == n * rows
