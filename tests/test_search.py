@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from brindle.operators import retrieval
+from brindle.plans import search
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,14 @@ def test_bm25_in_whole_documents_equals_bm25_by_joins(spark, boosts, monkeypatch
     monkeypatch.setattr(retrieval, "CELLS", 10)
     assert sorted(map(tuple, retrieval.bm25_top(docs, asked, "id", ["a", "b"], "q", "said", 6, boosts).select("q", "id", "score", "rank").collect())) == got
     assert retrieval.bm25_top(docs, asked.where("false"), "id", ["a"], "q", "said", 6).count() == retrieval.bm25_top(docs.where("false"), asked, "id", ["a"], "q", "said", 6).count() == 0
+
+
+def test_texts_are_not_shuffled_for_a_few_questions(spark):
+    sf, kept = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = spark.createDataFrame([(0, 1, 1)], "item_id long, doc_id long, rank int")
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (search._with_texts(hits, spark, sf), search._relevant(spark, sf))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin [doc_id" not in plans[0] and plans[1].count("SortMergeJoin") == 1  # terms with their counts
