@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial, reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ JOINED = (
     (r"Conformealodispuestoen", "Conforme a lo dispuesto en"),
     (r"Consejo Directivoseran", "Consejo Directivo seran"),
 )
+#: What every heading that is spaced holds, in lower case and without the letter i, whose cases are many; and what every joined word holds.
+HEADS, RUN_TOGETHER = ("bro", "tulo", "art", "ley"), ("delaley", "instituciony", "institutoocon", "socialy", "lapresente", "conformealodispuestoen", "directivoseran")
 #: A law's body is sought behind the formula of its promulgation within this many characters, and behind a front page beyond so many.
 PROMULGATED_WITHIN, FRONT_PAGE = 1_500, 300
 
@@ -36,17 +42,31 @@ def _each(c: Column, *changes: tuple[str, str]) -> Column:
     return c
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _holds(c: Column, *literals: str) -> Column:
+    """Whether one of some lower-case literals is in a text: a test that a pattern can match, much cheaper than the pattern."""
+    return _let(F.lower(c), lambda low: reduce(or_, (F.contains(low, F.lit(x)) for x in literals)))
+
+
 def body(text: Column) -> Column:
     """From the promulgated law on, if the formula stands early; else from the first heading, if laws are many or a gazette's front page precedes it."""
-    rest = lambda prefix: F.substring(text, F.length(prefix) + 1, F.length(text))
-    front = F.regexp_extract(text, rf"(?imsu)\A(.*?)^\s*{_OPENING}", 1)
-    laws = F.regexp_count(text, F.lit(rf"(?imu)^\s*{LAW}"))
-    paged = (F.length(front) > FRONT_PAGE) & F.upper(front).rlike(GAZETTE)
-    out = F.when((laws >= 2) | paged, rest(front)).otherwise(text)
-    for formula in reversed(PROMULGATED):
-        before = F.regexp_extract(text, rf"(?isu)\A(.*?{formula}.*?){LAW}", 1)
-        out = F.when((before != "") & (F.length(before) <= PROMULGATED_WITHIN), rest(before)).otherwise(out)
-    return out
+
+    def behind(t: Column) -> Column:
+        rest = lambda prefix: F.substring(t, F.length(prefix) + 1, F.length(t))
+        laws = F.regexp_count(t, F.lit(rf"(?imu)^\s*{LAW}"))
+        paged = lambda front: (F.length(front) > FRONT_PAGE) & F.upper(front).rlike(GAZETTE)
+        out = _let(F.regexp_extract(t, rf"(?imsu)\A(.*?)^\s*{_OPENING}", 1), lambda front: F.when(paged(front) | (laws >= 2), rest(front)).otherwise(t))
+        early = lambda before: (before != "") & (F.length(before) <= PROMULGATED_WITHIN)
+        for formula in reversed(PROMULGATED):
+            before = F.regexp_extract(t, rf"(?isu)\A(.*?{formula}.*?){LAW}", 1)
+            out = _let(before, partial(lambda other, b: F.when(early(b), rest(b)).otherwise(other), out))
+        return out
+
+    return _let(text, behind)
 
 
 def repair(text: Column, markdown: Column | None = None) -> Column:
@@ -56,13 +76,15 @@ def repair(text: Column, markdown: Column | None = None) -> Column:
     """
     bare = _each(F.replace(text, F.lit("<!-- image -->"), F.lit("\n")), (r"(?m)^\s*#+\s*", ""))
     c = text if markdown is None else F.when(markdown, bare).otherwise(text)
-    c = _each(
-        c,
+    c = _let(c, lambda t: F.when(_holds(t, *HEADS), _each(
+        t,
         (rf"(?iu)\b({LEVEL})\s*({NUMBER})\b", "$1 $2"),
         (rf"(?iu)\b({ARTICLE})\s*([0-9]+)\s*([{_CAPITAL}])", "$1 $2 $3"),
         (rf"(?iu)\b({ARTICLE})\s*([0-9]+)\b", "$1 $2"),
         (r"(?iu)\b(ley)\s*N[°ºO.]?\s*\.?\s*([0-9]+)\b", "$1 N. $2"),
         (rf"(?iu)(?<!\n)(?=ley\s+N[°ºO.]|(?:{LEVEL})\s+{NUMBER}|{ARTICLE}\s*\d+(?:\s+(?:bis|ter|quater|quinquies))?\s*(?:[.:\-]|\s[{_CAPITAL}(]))", "\n"),
-    )
-    c = _each(body(c), (rf"(?<=[a-záéíóúñ0-9])(?=[{_CAPITAL}])", " "), *JOINED, (r"[ \t]{2,}", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"))
+    )).otherwise(t))
+    c = _each(body(c), (rf"(?<=[a-záéíóúñ0-9])(?=[{_CAPITAL}])", " "))
+    c = _let(c, lambda t: F.when(_holds(t, *RUN_TOGETHER), _each(t, *JOINED)).otherwise(t))
+    c = _each(c, (r"[ \t]{2,}", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"))
     return F.when(F.trim(text, F.lit(" \t\r\n")) == "", text).otherwise(F.trim(c, F.lit(" \t\r\n")))

@@ -101,3 +101,8 @@ def test_tables_by_profile(spark, tmp_path):
     assert store.read_profiled("index", "m").count() == 2
     store.write(profiled("index", "m"), spark.range(5))
     assert store.read_profiled("index", "M").count() == 5
+
+
+def test_repair_computes_each_step_once(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(repair(F.col("t")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(ley)") == 1
