@@ -23,6 +23,8 @@ from brindle.shipping import by_value
 by_value(__name__)
 
 TARGET, LEAST, MOST, OVERLAP = 600, 400, 800, 0.2
+#: Texts whose chunks a worker holds at once.
+ROWS = 256
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 # Fixed value: what a line with nothing but a page number looks like.
 PAGE_NUMBER_SQL = r"(?i)^(P[ÁA]GINA\s+[0-9]+\s+DE\s+[0-9]+|[0-9]+)$"
@@ -298,7 +300,7 @@ def chunk_documents(docs: DataFrame, key: str, text: str, strategy: str, window:
     schema = pa.schema([("chunk_order", pa.int32()), ("kind", pa.string()), ("path", pa.list_(pa.string())), ("chunk", pa.string()), ("tokens", pa.int32())])
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             at, rows = [], []
             for i, (t, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 for n, c in enumerate(chunks_of(t, s, w)):

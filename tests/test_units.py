@@ -1,9 +1,12 @@
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_operators import LAW
 
 from brindle.functions.repair import repair
 from brindle.functions.text import fold
-from brindle.operators import answer, branches, chunking, evaluate, hierarchy
+from brindle.operators import answer, branches, chunking, classify, evaluate, hierarchy
 from brindle.sources.store import Store, profiled
 
 SCAN = """<!-- image -->
@@ -106,3 +109,19 @@ def test_tables_by_profile(spark, tmp_path):
 def test_repair_computes_each_step_once(spark):
     plan = spark.createDataFrame([("x",)], "t string").select(repair(F.col("t")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(ley)") == 1
+
+
+def test_markers_are_sought_only_where_their_literal_is(spark):
+    every = (*classify.MEETING, *classify.MEETING_KIND, *classify.TECHNICAL, *classify.STRUCTURED_MARKERS)
+    samples = ["acta", "sesion", "sesión", "reunion", "punto de agenda", "puntos  de agenda", "orden del dia", "lectura de acuerdo anteriores", "consejo directivo", "reunión ordinaria", "reunion extraordinaria", "niif", "ifrs", "nic", "norma de contabilidad", "modulo educativo", "estudio de caso", "pregunta de autoevaluación", "consejo de normas internacionales de contabilidad", "fundacion ifrs", "seccion 4", *"manual procedimiento objetivo alcance responsabilidades anexo agenda".split(), "estado de resultados", "estado de situacion financiera"]
+    assert all(any(re.search(p, x) for x in samples) and all(classify.literal(p) in x for x in samples if re.search(p, x)) and len(classify.literal(p)) > 2 for p in every)
+
+
+def test_chunks_of_a_bounded_number_of_texts(spark, monkeypatch):
+    docs, taken = spark.createDataFrame([], "id long, text string, strategy string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a: taken.append(f) or self.selectExpr("id", "0 AS chunk_order", "text AS chunk"))
+    chunking.chunk_documents(docs, "id", "text", "strategy")
+    n = 1_000
+    texts = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["Una casa."] * n), pa.array(["generic_freeform"] * n)], names=["id", "text", "strategy"])
+    given = [b.num_rows for b in taken[0]([texts])]
+    assert max(given) == chunking.ROWS and sum(given) == n
